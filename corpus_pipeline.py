@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import mixing, sharding
+from docweave.llm import mixing, quality, sharding
 from docweave.llm.shared import mark, new_path, release_since
 
 _done = {"mark": 0}
@@ -16,17 +16,25 @@ def _fresh(spark: SparkSession) -> None:
     _done["mark"] = mark()
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the quality rules."""
+    _fresh(spark)
+    return quality.kept_documents(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target of its source asks for."""
+    _fresh(spark)
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal texts together in 16 shards of near equal bytes."""
+    _fresh(spark)
     return sharding.shard_by_bytes(docs)
 
 
-STAGES = [("mix sources", mixed), ("shards", sharded)]
+STAGES = [("quality rules", good), ("mix sources", mixed), ("shards", sharded)]
 
 #: The stages draw on hashes and trained references, which SQL alone doesn't give; tests compare with brute force.
 ORACLE_SQL = None
