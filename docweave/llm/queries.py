@@ -1,16 +1,19 @@
 """The queries of this subpackage, by name, and the SQL that gives the same rows where SQL can."""
 
+from docweave.llm.decontamination import OP8_SQL, op8_decontaminate
 from docweave.llm.mixing import OP7_SQL, op7_mix_sources
 from docweave.llm.quality import OP9_SQL, op9_quality
 from docweave.llm.sharding import op10_shards
 
 QUERIES = {
     "op7_mix_sources": op7_mix_sources,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
 }
 
 ORACLES = {
     "op7_mix_sources": OP7_SQL,
+    "op8_decontaminate": OP8_SQL,
     "op9_quality": OP9_SQL,
 }
