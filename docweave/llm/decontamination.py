@@ -56,30 +56,37 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame
     """Occurrences of windows: doc_id, _key, win, start, n (words), exact (every term in place).
 
     Without exact, every term stands within ``slop`` words of its place. Windows with a term that no document has are left
-    out first; each other one starts from its rarest term.
+    out first. Each other one starts from the postings of its rarest term, which are intersected with those of its
+    second rarest; only the few starts that remain meet the lists of the other terms.
     """
-    terms = windows.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term"))
+    terms = stored(windows.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term")), "window-terms")
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = F.min(F.struct("df", "off", "term"))
-    leads = stored(ranked.groupBy("win", "n").agg(rarest.alias("lead")).where("lead.df > 0").select("win", "n", F.col("lead.off").alias("lead_off"), F.col("lead.term").alias("term")), "leads")
+    place = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")
+    ranked = terms.join(counts, "term", "left").groupBy("win", "n").agg(F.array_sort(F.collect_list(place)).alias("by_df"))  # at most n terms each
+    first, second = F.get("by_df", F.lit(0)), F.get("by_df", F.least(F.size("by_df") - 1, F.lit(1)))
+    leads = stored(ranked.where(first["df"] > 0).select("win", "n", first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2")), "leads")
     n_leads = leads.count()
-    starts = stored(
-        index.join(_small(leads, n_leads), "term").select("doc_id", "_key", "win", "n", (F.col("pos") - F.col("lead_off")).alias("start")).where("start >= 0"),
-        "starts",
-    )
-    seen = stored(starts.select("doc_id", "_key").distinct(), "candidate-documents")
-    n_seen = seen.count()
     width = 2 * slop + 1
-    places = (
-        starts.join(_small(terms.select("win", "off", "term"), n_leads * WINDOW), "win")
-        .withColumn("at", F.col("start") + F.col("off"))
-        .withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor((F.col("at") - slop) / width), F.floor((F.col("at") + slop) / width)))))
-    )
-    near = index.join(_small(seen, n_seen), [index["doc_id"].eqNullSafe(seen["doc_id"]), index["_key"] == seen["_key"]], "left_semi")
-    near = near.select(F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "pos", F.floor(F.col("pos") / width).alias("_c"))
-    same = (F.col("term") == F.col("_term")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_k")) & (F.col("_cell") == F.col("_c"))
-    found = places.join(near, same).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+
+    def expected(rows: DataFrame) -> DataFrame:
+        """One row for each cell of positions in which the term may stand."""
+        cells = F.array_distinct(F.array(F.floor((F.col("at") - slop) / width), F.floor((F.col("at") + slop) / width)))
+        return rows.withColumn("cell", F.explode(cells))
+
+    def met(rows: DataFrame, postings: DataFrame) -> DataFrame:
+        """Rows (term, doc_id, _key, at, cell, ...) with the postings of the term within slop of at."""
+        p = postings.select(F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "pos", F.floor(F.col("pos") / width).alias("_cell"))
+        same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("term") == F.col("_term")) & (F.col("cell") == F.col("_cell"))
+        return rows.join(p, same).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+
+    starts = index.join(_small(leads, n_leads), "term").select("doc_id", "_key", "win", "n", F.col("term2").alias("term"), "off2", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    seconds = index.join(_small(leads.select(F.col("term2").alias("term")).distinct(), n_leads), "term", "left_semi")
+    both = met(expected(starts.withColumn("at", F.col("start") + F.col("off2"))), seconds)
+    starts = stored(both.select("doc_id", "_key", "win", "n", "start").distinct(), "starts")
+    seen = stored(starts.select("doc_id", "_key").distinct(), "candidate-documents")
+    near = index.join(_small(seen, seen.count()), [index["doc_id"].eqNullSafe(seen["doc_id"]), index["_key"] == seen["_key"]], "left_semi")
+    places = starts.join(_small(terms.select("win", "off", "term"), n_leads * WINDOW), "win").withColumn("at", F.col("start") + F.col("off"))
+    found = met(expected(places), near)
     each = found.groupBy("doc_id", "_key", "win", "n", "start", "off").agg(F.max((F.col("pos") == F.col("at")).cast("int")).alias("here"))
     whole = each.groupBy("doc_id", "_key", "win", "n", "start").agg(F.count(F.lit(1)).alias("got"), F.sum("here").alias("here"))
     return whole.where("got = n").select("doc_id", "_key", "win", "start", "n", (F.col("here") == F.col("n")).alias("exact"))
