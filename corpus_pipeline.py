@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import decontamination, mixing, quality, sharding
+from docweave.llm import decontamination, mixing, neardup, quality, sharding
 from docweave.llm.shared import mark, new_path, release_since
 
 _done = {"mark": 0}
@@ -22,6 +22,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
 
 
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    _fresh(spark)
+    return neardup.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark passage."""
     _fresh(spark)
@@ -40,7 +46,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs)
 
 
-STAGES = [("quality rules", good), ("benchmark decontamination", decontaminated), ("mix sources", mixed), ("shards", sharded)]
+STAGES = [("quality rules", good), ("near duplicates", deduplicated), ("benchmark decontamination", decontaminated), ("mix sources", mixed), ("shards", sharded)]
 
 #: The stages draw on hashes and trained references, which SQL alone doesn't give; tests compare with brute force.
 ORACLE_SQL = None

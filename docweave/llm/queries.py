@@ -2,10 +2,12 @@
 
 from docweave.llm.decontamination import OP8_SQL, op8_decontaminate
 from docweave.llm.mixing import OP7_SQL, op7_mix_sources
+from docweave.llm.neardup import op1_near_duplicates
 from docweave.llm.quality import OP9_SQL, op9_quality
 from docweave.llm.sharding import op10_shards
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
