@@ -5,12 +5,14 @@ from docweave.llm.licenses import op6_licenses
 from docweave.llm.mixing import OP7_SQL, op7_mix_sources
 from docweave.llm.neardup import op1_near_duplicates
 from docweave.llm.quality import OP9_SQL, op9_quality
+from docweave.llm.repeats import op4_repeats
 from docweave.llm.secrets import op2_secrets
 from docweave.llm.sharding import op10_shards
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
+    "op4_repeats": op4_repeats,
     "op6_licenses": op6_licenses,
     "op7_mix_sources": op7_mix_sources,
     "op8_decontaminate": op8_decontaminate,
