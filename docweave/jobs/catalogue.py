@@ -17,7 +17,6 @@ from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks, hard_
 
 #: Limits at which every branch of the splitter runs on small data.
 SMALL = (200, 20)
-TEXT = F.col("text")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,19 +111,19 @@ _CHUNKS = _SMALL + ", chunks AS (" + _NUMBERED("SELECT doc_id, a FROM packed", "
 
 @query("token_estimate", "SELECT doc_id, (coalesce(length(text), 0) // 2)::BIGINT AS n_tokens FROM documents")
 def token_estimate(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tokens(TEXT).alias("n_tokens"))
+    return documents(spark, sf_dir).select("doc_id", tokens(F.col("text")).alias("n_tokens"))
 
 
 @query("long_documents", f"SELECT doc_id, (length(text) // 2)::BIGINT AS n_tokens FROM documents WHERE length(text) // 2 > {MAX_TOKENS}")
 def long_documents(spark, sf_dir):
     """The size column is compared first: unlike length(text), Parquet can skip row groups by it."""
     docs = documents(spark, sf_dir).where(F.col("n_chars") > 2 * MAX_TOKENS)
-    return docs.select("doc_id", tokens(TEXT).alias("n_tokens")).where(F.col("n_tokens") > MAX_TOKENS)
+    return docs.select("doc_id", tokens(F.col("text")).alias("n_tokens")).where(F.col("n_tokens") > MAX_TOKENS)
 
 
 @query("route", f"SELECT doc_id, CASE WHEN coalesce(length(text), 0) // 2 <= {MAX_TOKENS} THEN 'direct' ELSE 'chunked' END AS route FROM documents")
 def route(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.when(tokens(TEXT) <= MAX_TOKENS, "direct").otherwise("chunked").alias("route"))
+    return documents(spark, sf_dir).select("doc_id", F.when(tokens(F.col("text")) <= MAX_TOKENS, "direct").otherwise("chunked").alias("route"))
 
 
 _PATHS = "SELECT doc_id, '/in/' || source || '/' || doc_id || (['.docx', '.PDF', '.txt', '', '.tar.pdf'])[doc_id % 5 + 1] AS path, doc_id % 5 AS k FROM documents"
@@ -185,32 +184,32 @@ def paragraph_rows(spark, sf_dir):
 
 @query("sentences", _NUMBERED(f"SELECT doc_id, {_SENTENCES('text')} AS a FROM documents", "doc_id", "sent_ix", "sent"))
 def sentence_rows(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", sentences(TEXT), "sent_ix", "sent")
+    return exploded(documents(spark, sf_dir), "doc_id", sentences(F.col("text")), "sent_ix", "sent")
 
 
 @query("hard_split", _NUMBERED(f"SELECT doc_id, {_hard('text', 400, 80)} AS a FROM documents WHERE NOT ({_BLANK('text')})", "doc_id", "ix", "piece"))
 def hard_split_rows(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", hard_split(TEXT, 200, 40), "ix", "piece")
+    return exploded(documents(spark, sf_dir), "doc_id", hard_split(F.col("text"), 200, 40), "ix", "piece")
 
 
 @query("lines", _NUMBERED(f"SELECT doc_id, string_split({_STRIP('text')}, chr(10)) AS a FROM documents", "doc_id", "line_ix", "line"))
 def line_rows(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", lines(TEXT), "line_ix", "line")
+    return exploded(documents(spark, sf_dir), "doc_id", lines(F.col("text")), "line_ix", "line")
 
 
 @query("splitlines", _NUMBERED(f"SELECT doc_id, {_SPLITLINES('text')} AS a FROM documents", "doc_id", "line_ix", "line"))
 def splitlines_rows(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", splitlines(TEXT), "line_ix", "line")
+    return exploded(documents(spark, sf_dir), "doc_id", splitlines(F.col("text")), "line_ix", "line")
 
 
 @query("chunks_small", _CHUNKS + "SELECT * FROM chunks")
 def chunks_small(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", chunks(TEXT, *SMALL), "chunk_ix", "chunk")
+    return exploded(documents(spark, sf_dir), "doc_id", chunks(F.col("text"), *SMALL), "chunk_ix", "chunk")
 
 
 @query("chunks_default", _chunks_sql(MAX_TOKENS, OVERLAP_TOKENS) + _NUMBERED("SELECT doc_id, a FROM packed", "doc_id", "chunk_ix", "chunk"))
 def chunks_default(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", chunks(TEXT), "chunk_ix", "chunk")
+    return exploded(documents(spark, sf_dir), "doc_id", chunks(F.col("text")), "chunk_ix", "chunk")
 
 
 @query("chunk_stats", _CHUNKS + "SELECT doc_id, count(*)::BIGINT AS n_chunks, sum(length(chunk) // 2)::BIGINT AS n_tokens, max(length(chunk) // 2)::BIGINT AS max_tokens FROM chunks GROUP BY doc_id")
@@ -218,7 +217,7 @@ def chunk_stats(spark, sf_dir):
     def of(n: Column) -> Column:
         return F.struct(F.size(n).cast("long").alias("n_chunks"), F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"), F.array_max(n).alias("max_tokens"))
 
-    return if_any(documents(spark, sf_dir), F.transform(chunks(TEXT, *SMALL), tokens), of)
+    return if_any(documents(spark, sf_dir), F.transform(chunks(F.col("text"), *SMALL), tokens), of)
 
 
 @query("duplicate_chunks", _CHUNKS + "SELECT doc_id, count(*) FILTER (before IS NOT NULL AND suffix(before, chunk))::BIGINT AS n_dup FROM (SELECT doc_id, chunk, lag(chunk) OVER (PARTITION BY doc_id ORDER BY chunk_ix) AS before FROM chunks) GROUP BY doc_id")
@@ -227,14 +226,14 @@ def duplicate_chunks(spark, sf_dir):
         again = F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1).endswith(x), F.lit(False)))
         return F.struct(F.size(again).cast("long").alias("n_dup"))
 
-    return if_any(documents(spark, sf_dir), chunks(TEXT, *SMALL), of)
+    return if_any(documents(spark, sf_dir), chunks(F.col("text"), *SMALL), of)
 
 
 def label_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, labeler, line_ix, label, content) of the filled lines, for each labeler."""
 
     def by(labeler):
-        return F.transform(filled_lines(TEXT), lambda s: F.struct(labeler(s).alias("label"), s.alias("content")))
+        return F.transform(filled_lines(F.col("text")), lambda s: F.struct(labeler(s).alias("label"), s.alias("content")))
 
     each = F.array(*[F.struct(F.lit(name).alias("labeler"), by(f).alias("rows")) for name, f in LABELERS.items()])
     rows = docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.labeler", F.posexplode("x.rows").alias("line_ix", "r"))
@@ -257,17 +256,17 @@ def label_counts(spark, sf_dir):
 
 @query("markdown_blocks", f"WITH m AS (SELECT doc_id, {_BLOCKS(_LABELLED('text', 'mod'))} AS a FROM documents) " + _NUMBERED("SELECT doc_id, a FROM m", "doc_id", "block_ix", "block"))
 def markdown_blocks(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), "doc_id", blocks(labelled(TEXT, mod)), "block_ix", "block")
+    return exploded(documents(spark, sf_dir), "doc_id", blocks(labelled(F.col("text"), mod)), "block_ix", "block")
 
 
 @query("markdown_docs", f"SELECT doc_id, {_MARKDOWN(_LABELLED('text'))} AS markdown FROM documents")
 def markdown_docs(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", markdown(labelled(TEXT)).alias("markdown"))
+    return documents(spark, sf_dir).select("doc_id", markdown(labelled(F.col("text"))).alias("markdown"))
 
 
 @query("rejected_lines", f"SELECT doc_id, len(list_filter({_FILLED('text')}, lambda l: length(l) % 6 = 5))::BIGINT AS n_rejected FROM documents")
 def rejected_lines(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", rejected(labelled(TEXT, mod)).alias("n_rejected"))
+    return documents(spark, sf_dir).select("doc_id", rejected(labelled(F.col("text"), mod)).alias("n_rejected"))
 
 
 _HTML_BLOCK = r"<(h[1-4]|p)>([^<]*)"
@@ -316,7 +315,7 @@ _LABELLED_CHUNKS = f", labelled AS (SELECT doc_id, chunk_ix, count(*) OVER (PART
 
 
 def labelled_parts() -> Column:
-    return F.transform(chunks(TEXT, *SMALL), lambda c: labelled(c, rule))
+    return F.transform(chunks(F.col("text"), *SMALL), lambda c: labelled(c, rule))
 
 
 @query(
@@ -351,7 +350,7 @@ _STAGE = lambda md: f"CASE WHEN length({md}) = 0 THEN 'format' END"  # noqa: E73
 )
 def pipeline_direct(spark, sf_dir):
     """The short documents, labelled as they are."""
-    return convert(documents(spark, sf_dir).where(tokens(TEXT) <= MAX_TOKENS), labeler=mod).select("doc_id", "markdown", "error_stage")
+    return convert(documents(spark, sf_dir).where(tokens(F.col("text")) <= MAX_TOKENS), labeler=mod).select("doc_id", "markdown", "error_stage")
 
 
 _CONVERTED = (
@@ -397,7 +396,7 @@ def run_summary(spark, sf_dir):
 
 @query("request_payload", f"SELECT doc_id, '{llm_api.DEFAULT_MODEL}' AS model, length(text)::BIGINT AS user_len FROM documents")
 def request_payload(spark, sf_dir):
-    body = documents(spark, sf_dir).select("doc_id", llm_api.request(TEXT).alias("body"))
+    body = documents(spark, sf_dir).select("doc_id", llm_api.request(F.col("text")).alias("body"))
     parsed = F.from_json("body", "model string, messages array<struct<role: string, content: string>>")
     return body.select("doc_id", parsed.alias("r")).select("doc_id", "r.model", F.length(F.get("r.messages", F.lit(1))["content"]).cast("long").alias("user_len"))
 
@@ -410,7 +409,7 @@ def response_parse(spark, sf_dir):
         return F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"))).alias("choices")))
 
     k = F.col("doc_id") % 5
-    bodies = F.when(k == 0, body(TEXT)).when(k == 1, body(F.lit(""))).when(k == 2, body(F.lit(" \n　"))).when(k == 3, F.lit('{"choices": []}')).otherwise(F.left(TEXT, F.lit(40)))
+    bodies = F.when(k == 0, body(F.col("text"))).when(k == 1, body(F.lit(""))).when(k == 2, body(F.lit(" \n　"))).when(k == 3, F.lit('{"choices": []}')).otherwise(F.left(F.col("text"), F.lit(40)))
     return documents(spark, sf_dir).select("doc_id", llm_api.answer(bodies).alias("content"))
 
 
@@ -421,11 +420,11 @@ CASE WHEN doc_id % 4 = 0 THEN 'limit' END AS type, CASE doc_id % 4 WHEN 0 THEN '
 )
 def error_classify(spark, sf_dir):
     """Error bodies: nested with and without type and code, flat, and raw text."""
-    k, text = F.col("doc_id") % 4, F.left(TEXT, F.lit(40)).alias("message")
+    k, text = F.col("doc_id") % 4, F.left(F.col("text"), F.lit(40)).alias("message")
     nested = F.to_json(F.struct(F.struct(text, F.lit("limit").alias("type"), F.lit("429").alias("code")).alias("error")))
     short = F.to_json(F.struct(F.struct(text).alias("error")))
     flat = F.to_json(F.struct(F.col("source").alias("code"), text))
-    bodies = F.when(k == 0, nested).when(k == 1, flat).when(k == 3, short).otherwise(F.left(TEXT, F.lit(40)))
+    bodies = F.when(k == 0, nested).when(k == 1, flat).when(k == 3, short).otherwise(F.left(F.col("text"), F.lit(40)))
     return documents(spark, sf_dir).select("doc_id", llm_api.error(bodies).alias("e")).select("doc_id", "e.*")
 
 
@@ -437,7 +436,7 @@ CASE WHEN k IN (0, 1, 4) AND good THEN doc_id || CASE k WHEN 4 THEN '.tar' ELSE
 )
 def upload_records(spark, sf_dir):
     """What an upload reports for each file: success and the result's name, or error."""
-    docs = named(spark, sf_dir).withColumn("md", markdown(labelled(TEXT, mod)))
+    docs = named(spark, sf_dir).withColumn("md", markdown(labelled(F.col("text"), mod)))
     good = (paths.file_type(F.col("path")) != "unsupported") & (F.length("md") > 0)
     return docs.select("doc_id", F.when(good, "success").otherwise("error").alias("status"), F.when(good, paths.result_name(F.col("path"))).alias("processed_filename"))
 
@@ -467,4 +466,4 @@ def config_int(spark, sf_dir):
 
 @query("preview", "SELECT doc_id, left(text, 100) AS preview FROM documents")
 def previews(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", preview(TEXT).alias("preview"))
+    return documents(spark, sf_dir).select("doc_id", preview(F.col("text")).alias("preview"))
