@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -32,5 +33,5 @@ def duck():
 def rows(df):
     """The rows of a pandas frame as sorted texts, columns by name."""
     columns = sorted(df.columns)
-    plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else v.item() if hasattr(v, "item") else v
     return columns, sorted(repr(tuple(plain(v) for v in r)) for r in df[columns].itertuples(index=False, name=None))
