@@ -79,7 +79,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame
         same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("term") == F.col("_term")) & (F.col("cell") == F.col("_cell"))
         return rows.join(p, same).where(F.abs(F.col("pos") - F.col("at")) <= slop)
 
-    starts = index.join(_small(leads, n_leads), "term").select("doc_id", "_key", "win", "n", F.col("term2").alias("term"), "off2", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    starts = index.join(_small(leads, n_leads), "term").select("doc_id", "_key", "win", "n", F.col("term2").alias("term"), "off2", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)
     seconds = index.join(_small(leads.select(F.col("term2").alias("term")).distinct(), n_leads), "term", "left_semi")
     both = met(expected(starts.withColumn("at", F.col("start") + F.col("off2"))), seconds)
     starts = stored(both.select("doc_id", "_key", "win", "n", "start").distinct(), "starts")
@@ -131,8 +131,8 @@ def _outer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs in which no benchmark window occurs."""
-    dirty = contamination(docs, items, doc_id, text).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    return docs.join(dirty, F.col(doc_id).eqNullSafe(F.col("_id")) & (row_key(F.col(doc_id), F.col(text)) == F.col("_k")), "left_anti")
+    dirty = contamination(docs, items, doc_id, text).where("contaminated").select(F.col("doc_id").alias("__leak_id"), F.col("_key").alias("__leak_key")).distinct()
+    return docs.join(dirty, F.col(doc_id).eqNullSafe(F.col("__leak_id")) & (row_key(F.col(doc_id), F.col(text)) == F.col("__leak_key")), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -91,13 +91,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     Null texts have no words. A document whose source has rate 0 is not emitted. Repeated rows are each emitted by the same draw.
     """
     targets = source_targets(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), **shares)
-    of = targets.select(F.col("source").alias("_s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
+    of = targets.select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__mix_rate"))
     return (
-        docs.join(of, F.col(source).eqNullSafe(F.col("_s")), "left")
-        .select(*docs.columns, copies(F.col("_rate"), F.col(doc_id), seed).alias("_copies"))
-        .where("_copies > 0")
-        .withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .drop("_copies")
+        docs.join(of, F.col(source).eqNullSafe(F.col("__mix_source")), "left")
+        .select(*docs.columns, copies(F.col("__mix_rate"), F.col(doc_id), seed).alias("__mix_copies"))
+        .where("__mix_copies > 0")
+        .withColumn("__mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies"))))
+        .drop("__mix_copies")
     )
 
 

@@ -289,8 +289,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of docs for each component: that with the smallest id."""
-    keep = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("__neardup_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__neardup_id")), "left_semi")
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -154,8 +154,8 @@ def quality(docs: DataFrame, limits: Limits = Limits(), **columns: str) -> DataF
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs, as they are, that the rules keep."""
     slim = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text", "lang").alias("_key"))
-    good = quality(slim, limits, extra=("_key",)).where("kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text", "lang") == F.col("_k")), "left_semi")
+    good = quality(slim, limits, extra=("_key",)).where("kept").select(F.col("doc_id").alias("__quality_id"), F.col("_key").alias("__quality_key")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__quality_id")) & (F.xxhash64("doc_id", "text", "lang") == F.col("__quality_key")), "left_semi")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
