@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import decontamination, mixing, neardup, quality, sharding
-from docweave.llm.shared import mark, new_path, release_since
+from docweave.llm.shared import mark, remove, shared_dir, written_since
 
-_done = {"mark": 0}
+_of_last_stage: list[str] = []
 
 
-def _fresh(spark: SparkSession) -> None:
-    """Drop the tables of the stages before, whose results are written by now."""
-    release_since(spark, _done["mark"])
-    _done["mark"] = mark()
+def _step(spark: SparkSession, result: Callable[[], DataFrame]) -> DataFrame:
+    """result(), after the tables that the stage before left in the shared folder are gone: that stage's rows are written by now."""
+    while _of_last_stage:
+        remove(spark, _of_last_stage.pop())
+    start = mark()
+    out = result()
+    _of_last_stage.extend(written_since(start))
+    return out
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality rules."""
-    _fresh(spark)
-    return quality.kept_documents(docs)
+    return _step(spark, lambda: quality.kept_documents(docs))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    _fresh(spark)
-    return neardup.one_of_each(docs)
+    return _step(spark, lambda: neardup.one_of_each(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark passage."""
-    _fresh(spark)
-    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _step(spark, lambda: decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target of its source asks for."""
-    _fresh(spark)
-    return mixing.mix(docs)
+    return _step(spark, lambda: mixing.mix(docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Equal texts together in 16 shards of near equal bytes."""
-    _fresh(spark)
-    return sharding.shard_by_bytes(docs)
+    return _step(spark, lambda: sharding.shard_by_bytes(docs))
 
 
 STAGES = [("quality rules", good), ("near duplicates", deduplicated), ("benchmark decontamination", decontaminated), ("mix sources", mixed), ("shards", sharded)]
@@ -53,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        path = new_path(spark, "stage")
+    """Apply the stages to documents. A stage's rows stay in the shared folder until the next stage's are written."""
+    docs, base, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", ""
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

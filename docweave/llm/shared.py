@@ -61,16 +61,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """A point in time for release_since()."""
+    """A point in time for written_since()."""
     return len(_tables)
 
 
-def release_since(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Delete the tables written since a mark(), but for the last ``keep``; only for tables that no later result reads."""
-    gone = _tables[since : len(_tables) - keep]
-    for path in gone:
-        remove(spark, path)
-    _tables[since : len(_tables) - keep] = []
+def written_since(since: int) -> list[str]:
+    """The paths handed out since a mark()."""
+    return _tables[since:]
 
 
 def ascii_lower(text: Column) -> Column:

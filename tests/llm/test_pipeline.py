@@ -1,6 +1,7 @@
 """Each stage on its predecessor's rows."""
 
 import corpus_pipeline
+from docweave.llm.shared import new_path
 
 
 def test_stages(spark):
@@ -8,7 +9,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        path = corpus_pipeline.new_path(spark, "test")
+        path = new_path(spark, "test")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         counts.append(docs.count())
