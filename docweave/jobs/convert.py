@@ -11,15 +11,15 @@ from docweave.operators.merge import merged
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks
 
 
-def convert(docs: DataFrame, text: str = "text", labeler: Labeler = rule, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
+def convert(docs: DataFrame, text: str = "text", labeler: Labeler = rule, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, clean: bool = False) -> DataFrame:
     """docs with n_tokens, route, markdown (null where a stage failed) and error_stage (null where none did).
 
     Texts of up to max_tokens are labelled as they are; longer ones are split, labelled chunk by chunk and merged.
-    Stages that can fail: extract (no text), split (no chunk), merge (nothing left), format (no block).
+    clean leaves out chunks that only repeat. Stages that can fail: extract (no text), split (no chunk), merge (nothing left), format (no block).
     """
     t = F.col(text)
     out = docs.withColumn("n_tokens", tokens(t)).withColumn("route", F.when(F.col("n_tokens") <= max_tokens, "direct").otherwise("chunked"))
-    parts = F.transform(chunks(t, max_tokens, overlap), lambda c: labelled(c, labeler))
+    parts = F.transform(chunks(t, max_tokens, overlap, clean), lambda c: labelled(c, labeler))
     out = out.withColumn("_parts", F.when(F.col("route") == "chunked", parts))
     out = out.withColumn("_labelled", F.when(F.col("route") == "direct", labelled(t, labeler)).otherwise(merged(F.col("_parts"), overlap)))
     out = out.withColumn("_md", markdown(F.col("_labelled")))

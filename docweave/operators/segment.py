@@ -65,9 +65,11 @@ def segments(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     return bound(paragraphs(text), lambda all_: F.flatten(F.transform(all_, cut(all_))))
 
 
-def chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
+def chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, clean: bool = False) -> Column:
     """Chunks of about max_tokens that repeat the end of the chunk before; no chunk is blank.
 
+    With clean, chunks that only repeat the end of the chunk before are left out: they cost a call and add nothing.
+
     A fold over the segments with (chunks, buffer, tokens of the buffer). A segment above the limit is cut by width. When
     the next segment doesn't fit, the buffer's last segments (up to 1.1 times the overlap, one at least) are carried over; if
     carried text and segment don't fit together, the carried text is a chunk of its own.
@@ -121,4 +123,7 @@ def chunks(text: Column, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TO
 
     found = F.filter(segments(text, max_tokens), lambda s: ~blank(s))
     packed = F.aggregate(found, state(none, none, F.lit(0)), step, flushed)
-    return F.when(blank(text), none).otherwise(F.filter(packed, lambda c: ~blank(c)))
+    filled = F.filter(packed, lambda c: ~blank(c))
+    if clean:
+        filled = bound(filled, lambda all_: F.filter(all_, lambda c, i: ~F.coalesce(F.get(all_, i - 1).endswith(c), F.lit(False))))
+    return F.when(blank(text), none).otherwise(filled)
