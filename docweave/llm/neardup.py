@@ -250,12 +250,16 @@ class NearDuplicates:
         nodes = stored(nodes.select(F.col("node").alias("_n"), "comp"), "unsettled-nodes")
         texts = self.texts.join(nodes, F.col("doc_id") == F.col("_n"), "left_semi")
         shingles = stored(texts.mapInArrow(lister(self.settings), "node long, n long, shingle long"), "shingles")
-        counts = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+        # Stored, the counts meet the shingles in a join whose hot keys Spark can split.
+        counts = stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle-counts")
         order = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
-        first = shingles.join(counts, "shingle").withColumn("at", order).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
+        ranked = shingles.join(counts, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+        first = ranked.withColumn("at", order).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
         first = stored(first.join(nodes, F.col("node") == F.col("_n")).select("shingle", "node", "n", "at", "comp"), "prefixes")
-        most = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("shingle", F.col("most.comp").alias("_most"))
-        minor = first.join(most, "shingle").where("comp <> _most").select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("comp").alias("_comp"))
+        sizes = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
+        most = stored(sizes.where("comps > 1").select("shingle", F.col("most.comp").alias("_most")), "largest-components")
+        minor = first.join(most, "shingle").where("comp <> _most")
+        minor = stored(minor.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("comp").alias("_comp")), "minor-prefixes")
         need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
         fits = (F.col("comp") != F.col("_comp")) & (F.col("at") <= F.col("n") - need + 1) & (F.col("bt") <= F.col("m") - need + 1)
         return first.join(minor, (first["shingle"] == minor["shingle"]) & fits).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
