@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import NOT_SPACE, bound, stored
+from docweave.functions.text import bound
+from docweave.llm.shared import NOT_SPACE, stored
 
 # Common words of each language.
 COMMON_WORDS = {

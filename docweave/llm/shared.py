@@ -49,11 +49,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def path_of(table: DataFrame) -> str:
-    """The folder of a table that stored() has written."""
-    return os.path.dirname(table.inputFiles()[0])
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Hadoop's file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,11 +70,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def bound(value: Column, body) -> Column:
-    """body(value) with value computed once: a one-element array binds it to a lambda variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def row_key(*columns: Column) -> Column:
     """Tells rows apart that share an id but not their text."""
     return F.xxhash64(*columns)

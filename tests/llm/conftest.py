@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, copies int, shard int, pos int, term string, size int, key int, data int, _t int, target int"
 
@@ -20,10 +19,5 @@ LONG = " ".join(f"word{k % 977}x{k}" for k in range(30_000))
 ODD = [(1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, None), (3, ""), (4, " \n\t "), (None, "one two three four five six seven"), (None, None), (5, LONG, None, None), (6, "é" * 50), (7, "one two three four five six seven", "xx", "b")]
 
 
-@pytest.fixture
-def pages(spark):
-    return str("/root/testdata/sf0.001")
-
-
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
