@@ -2,12 +2,14 @@
 
 Markup is stripped into lines, one per block. Lines in menus, adverts and the like, and text that is mostly links, count
 as empty. Text lengths are summed over sliding windows of lines; a surge is where a sum rises above the threshold, a dive
-where it falls to nothing, and the text between them is kept.
+where it falls to nothing, and the text between them is kept. Where the longest article or main element outweighs the longest
+surge outside of them, only text in such elements has length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -26,7 +28,7 @@ BLOCK = frozenset(
 BODY = frozenset(("article", "main"))
 #: Words of class and id attributes that mark what isn't part of the article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
@@ -37,10 +39,11 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([
 
 @dataclass(frozen=True)
 class Settings:
-    """Lines in a window, and the least window sum of a surge where no element marks the article."""
+    """Lines in a window, the least window sum of a surge, and how much more a character in an article or main element weighs."""
 
     window: int = 3
     surge: int = 86
+    weight: int = 2
 
 
 @dataclass
@@ -48,7 +51,8 @@ class Line:
     text: str
     linked: int  # characters within links
     aside: bool
-    inside: bool  # within article or main
+    body: int  # number of the outermost article or main element around it, or 0
+    article: int  # number of the innermost article element around it, or 0
 
 
 def _is_aside(name: str, attributes: str, inside: bool) -> bool:
@@ -58,7 +62,7 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
         value = "".join(values).lower()
         if key.lower() == "role" and value in ROLES or key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
             return True
-        if key.lower() in ("class", "id") and name not in ("html", "body", "article", "main") and MARKS.intersection(re.split(r"[^a-z0-9]+", value)):
+        if key.lower() in ("class", "id") and name not in ("html", "body", "main") and MARKS.intersection(re.split(r"[^a-z0-9]+", value)):
             return True
     return False
 
@@ -67,16 +71,16 @@ def lines_of(html: str) -> list[Line]:
     """The blocks of a page in order, without markup."""
     html = _GONE.sub(" ", html)
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, inside
+    stack: list[tuple[str, bool, int, int]] = []  # name, aside, body, article
     parts: list[str] = []
-    linked, links = 0, 0
+    linked, links, bodies = 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append(Line(text, linked, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            lines.append(Line(text, linked, *(stack[-1][1:] if stack else (False, 0, 0))))
         linked = 0
 
     at = 0
@@ -105,17 +109,20 @@ def lines_of(html: str) -> list[Line]:
         elif name == "p":
             if stack and stack[-1][0] == "p":  # a paragraph ends where the next begins
                 stack.pop()
-            aside, inside = stack[-1][1:] if stack else (False, False)
-            stack.append((name, aside or bool(m[3]) and _is_aside(name, m[3], inside), inside))
+            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
+            stack.append((name, aside or bool(m[3]) and _is_aside(name, m[3], body > 0), body, article))
         elif name in BLOCK and name not in VOID and not m[3].endswith("/"):
-            aside, inside = stack[-1][1:] if stack else (False, False)
-            inside = inside or name in BODY
-            stack.append((name, aside or _is_aside(name, m[3], inside), inside))
+            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
+            aside = aside or _is_aside(name, m[3], body > 0)
+            if name in BODY and not aside:
+                bodies += 1
+                body, article = body or bodies, bodies if name == "article" else article
+            stack.append((name, aside, body, article))
         elif name == "span" and m[3] and not m[3].endswith("/"):
-            aside, inside = stack[-1][1:] if stack else (False, False)
-            if _is_aside(name, m[3], inside) and not aside:
+            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
+            if _is_aside(name, m[3], body > 0) and not aside:
                 end_block()
-                stack.append((name, True, inside))
+                stack.append((name, True, body, article))
     if at < len(html):
         parts.append(html[at:])
     end_block()
@@ -142,19 +149,40 @@ def surges(sizes: list[int], window: int, threshold: int) -> list[tuple[int, int
     return out
 
 
+def _teasers(lines: list[Line]) -> set[int]:
+    """Articles that begin with a link, as the announcements of other pages do, beside a longer text that isn't one."""
+    first, chars = {}, Counter()
+    for x in lines:
+        if not x.aside:
+            first.setdefault(x.article, x)
+            chars[x.article] += len(x.text) - x.linked
+    linked = {k for k, x in first.items() if k and 2 * x.linked > len(x.text)}
+    rest = max((n for k, n in chars.items() if k not in linked), default=0)
+    return {k for k in linked if chars[k] < rest}
+
+
 def main_text(html: str | None, settings: Settings = Settings()) -> str:
     """Blocks of the article, joined by one line feed; empty for null and for pages without text."""
     if not html:
         return ""
     lines = lines_of(html)
-    marked = any(x.inside and not x.aside for x in lines)
-    if marked:  # the page itself marks its article: any text in it surges
-        sizes = [len(x.text) if x.inside and not x.aside else 0 for x in lines]
-        spans = surges(sizes, settings.window, 1)
-    else:
-        sizes = [0 if x.aside or 2 * x.linked > len(x.text) else len(x.text) for x in lines]
-        spans = surges(sizes, settings.window, settings.surge) or surges(sizes, settings.window, 1)
-    return "\n".join(lines[k].text for start, end in spans for k in range(start, end) if sizes[k])
+    teasers = _teasers(lines)
+    sizes = [0 if x.aside or x.article in teasers or 2 * x.linked > len(x.text) and not x.body else len(x.text) for x in lines]
+
+    def found(sizes: list[int]) -> list[tuple[int, int]]:
+        return surges(sizes, settings.window, settings.surge) or surges(sizes, settings.window, 1)
+
+    # The longest article or main element against the longest surge outside of such elements.
+    inside, held = [n if x.body else 0 for n, x in zip(sizes, lines)], Counter()
+    for n, x in zip(inside, lines):
+        held[x.body] += n
+    outside = [n - k for n, k in zip(sizes, inside)]
+    if settings.weight * max(held.values(), default=0) >= max((sum(outside[a:b]) for a, b in surges(outside, settings.window, settings.surge)), default=0) and any(inside):
+        sizes = inside
+    spans = found(sizes)
+    kept = {k for start, end in spans for k in range(start, end) if sizes[k]}
+    seeds = {lines[k].body for k in kept} - {0} if sizes is inside else set()  # an element that surges is kept whole
+    return "\n".join(x.text for k, x in enumerate(lines) if sizes[k] and (k in kept or x.body in seeds))
 
 
 def extractor(settings: Settings):

@@ -120,3 +120,25 @@ def test_odd_rows(docs_of, spark):
         assert scan(docs_of([])).collect() == []
     rows = spark.createDataFrame([(None, None, None, 1), (1, "u", None, 2), (1, "u", "<p>x", 3)], "page_id long, url string, html string, text int")
     assert sorted(r["text"] for r in pages.extract(rows).collect()) == ["", "", "x"]
+
+
+STORY = "<h1>Story</h1>" + "".join(f"<p>{k} {'word ' * 30}</p>" for k in range(4))
+STORY_TEXT = "\n".join(["Story", *(f"{k} {'word ' * 30}".strip() for k in range(4))])
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>%s</div><section><article class='teaser'><h3>Other</h3><p>A short summary.</p></article><article class='teaser'><p>More.</p></article></section>",
+        "<div>%s</div><article><h3><a href='/x'>Other headline</a></h3><p>A short summary of it.</p></article>",
+        "<main>%s<section><article><h3><a href='/x'>Other headline</a></h3><p>A short summary of it.</p></article></section></main>",
+        "<article>%s</article><section><article class='comment'><p>I agree with all of it.</p></article></section>",
+        "<div>About this site, in no element of its own, some eighty characters of text to reach the bound.</div><article>%s</article>",
+    ],
+)
+def test_articles_that_are_not_the_article(html):
+    assert pages.main_text(html % STORY) == STORY_TEXT
+
+
+def test_short_article_beside_little_text():
+    assert pages.main_text("<div>Some words outside.</div><article><p>one</p></article>") == "one"
