@@ -19,22 +19,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements by their part in a page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "math", "audio", "video", "title")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "canvas", "audio", "video", "title")
 ASIDE = frozenset("nav footer aside form button dialog menu header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BODY = frozenset(("article", "main"))
-#: Words of class and id attributes that mark what isn't part of the article.
+#: Names in class and id attributes that mark what isn't part of the article. As the last part of a name ("site-footer"), or any part outside
+#: of article and main ("ad-slot"), they count on elements that hold neither the longest article or main element nor half of the page's text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer header menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget".split()
 )
+#: Parts of names that speak of the page's layout ("has-sidebar").
+NEGATIONS = frozenset("has no not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.S | re.I)
+#: Of these, the ones whose content is plain text for a browser: without an end tag they reach to the end of the page.
+_TO_END = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
+#: The name of such an element ends at white space, / or >; one closed in itself is empty.
+_OPEN = r"""(?=[\s/>])(?>(?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)"""
+_GONE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:{raw}){open}(?<=/>)|<({to_end}){open}.*?(?:</\1\s*>|\Z)|<({raw}){open}.*?</\2\s*>".format(raw="|".join(RAW), to_end="|".join(_TO_END), open=_OPEN),
+    re.S | re.I,
+)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 @dataclass(frozen=True)
@@ -53,27 +63,35 @@ class Line:
     aside: bool
     body: int  # number of the outermost article or main element around it, or 0
     article: int  # number of the innermost article element around it, or 0
+    doubtful: tuple[int, ...] = ()  # numbers of the elements around it that only a part of a name marks
 
 
-def _is_aside(name: str, attributes: str, inside: bool) -> bool:
+def _is_aside(name: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element isn't part of the article; None where only a part of a class or id says so."""
     if name in ASIDE and not (name == "header" and inside):
         return True
+    doubtful = False
     for key, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if key.lower() == "role" and value in ROLES or key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
-            return True
-        if key.lower() in ("class", "id") and name not in ("html", "body", "main") and MARKS.intersection(re.split(r"[^a-z0-9]+", value)):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "role" and not ROLES.isdisjoint(value.split()) or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-    return False
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            names = value.split()
+            if not MARKS.isdisjoint(names):
+                return True
+            for x in names:
+                parts = [part for part in re.split(r"[^a-z0-9]+", x) if part]
+                doubtful = doubtful or NEGATIONS.isdisjoint(parts) and not MARKS.isdisjoint(parts[-1:] if inside else parts)
+    return None if doubtful else False
 
 
 def lines_of(html: str) -> list[Line]:
     """The blocks of a page in order, without markup."""
     html = _GONE.sub(" ", html)
     lines: list[Line] = []
-    stack: list[tuple[str, bool, int, int]] = []  # name, aside, body, article
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # name, aside, body, article, doubtful
     parts: list[str] = []
-    linked, links, bodies = 0, 0, 0
+    linked, links, count = 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
@@ -83,6 +101,20 @@ def lines_of(html: str) -> list[Line]:
             lines.append(Line(text, linked, *(stack[-1][1:] if stack else (False, 0, 0))))
         linked = 0
 
+    def begin(name: str, attributes: str) -> bool:
+        """Push an element; whether it may be one that isn't part of the article, and none around it is."""
+        nonlocal count
+        around, body, article, doubtful = stack[-1][1:] if stack else (False, 0, 0, ())
+        aside = around or bool(attributes or name in ASIDE) and _is_aside(name, attributes, body > 0)
+        if aside is None:
+            count += 1
+            doubtful += (count,)
+        if name in BODY and not aside:
+            count += 1
+            body, article = body or count, count if name == "article" else article
+        stack.append((name, bool(aside), body, article, doubtful))
+        return aside is None or aside and not around
+
     at = 0
     for m in _TAG.finditer(html):
         if m.start() > at:
@@ -102,6 +134,8 @@ def lines_of(html: str) -> list[Line]:
                 links = 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if name == "span":
+                        end_block()
                     del stack[k:]
                     break
         elif name == "a":
@@ -109,23 +143,32 @@ def lines_of(html: str) -> list[Line]:
         elif name == "p":
             if stack and stack[-1][0] == "p":  # a paragraph ends where the next begins
                 stack.pop()
-            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
-            stack.append((name, aside or bool(m[3]) and _is_aside(name, m[3], body > 0), body, article))
+            begin(name, m[3])
         elif name in BLOCK and name not in VOID and not m[3].endswith("/"):
-            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
-            aside = aside or _is_aside(name, m[3], body > 0)
-            if name in BODY and not aside:
-                bodies += 1
-                body, article = body or bodies, bodies if name == "article" else article
-            stack.append((name, aside, body, article))
+            begin(name, m[3])
         elif name == "span" and m[3] and not m[3].endswith("/"):
-            aside, body, article = stack[-1][1:] if stack else (False, 0, 0)
-            if _is_aside(name, m[3], body > 0) and not aside:
+            marked = begin(name, m[3])
+            top = stack.pop()
+            if marked:
                 end_block()
-                stack.append((name, True, body, article))
+                stack.append(top)
     if at < len(html):
         parts.append(html[at:])
     end_block()
+    held, total = Counter(), 0
+    bodies: Counter[int] = Counter()
+    for x in lines:
+        if not x.aside:
+            total += len(x.text)
+            bodies[x.body] += 0 if not x.body else len(x.text)
+            for k in x.doubtful:
+                held[k] += len(x.text)
+    if held:
+        longest = max(bodies, key=bodies.__getitem__)
+        around = {k for x in lines if x.body == longest > 0 for k in x.doubtful if k < longest}
+        marks = {k for k, n in held.items() if 2 * n < total and k not in around}
+        for x in lines:
+            x.aside = x.aside or not marks.isdisjoint(x.doubtful)
     return lines
 
 

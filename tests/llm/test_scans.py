@@ -142,3 +142,27 @@ def test_articles_that_are_not_the_article(html):
 
 def test_short_article_beside_little_text():
     assert pages.main_text("<div>Some words outside.</div><article><p>one</p></article>") == "one"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><video-player src='a'></video-player>%s</article>",
+        "<select-menu></select-menu><article>%s</article>",
+        "<article><svg class=\"i\"/>%s</article><svg><text>no</text></svg>",
+        "<article style=\"overflow:hidden\" data-hidden=\"false\">%s</article>",
+        "<div title='a role=search'>%s</div>",
+        "<div class=\"layout has-sidebar\"><article>%s</article></div>",
+        "<div class=\"layout no-sidebar\">%s</div>",
+        "<div class=\"page-sidebar\"><div class=\"site-footer\">Foot</div><article>%s</article></div>",
+        "<div class=\"ad-slot\">Buy</div><div class=\"with-comments\">%s</div><div hidden>Gone</div>",
+        "<script async src=\"a>b\">var t = '<p>no</p>'</script><article>%s</article><script>var u = '",
+        "<article class='post-comments'>%s<span class='page-share'>Share</span></article>",
+    ],
+)
+def test_markup_around_the_article(html):
+    assert pages.main_text(html % STORY) == STORY_TEXT
+
+
+def test_math_and_objects_are_text():
+    assert pages.main_text("<article><p>a <math><mi>x</mi></math> b<object>c</object></p></article>") == "a x bc"
