@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block. Lines in menus, adverts and the like, and text that is mostly links, count
-as empty. Text lengths are summed over sliding windows of lines; a surge is where a sum rises above the threshold, a dive
+Markup is stripped into lines, one per block. Lines in menus, adverts and the like are left out, and text that is mostly
+links counts as empty. Text lengths are summed over sliding windows of lines; a surge is where a sum rises above the threshold, a dive
 where it falls to nothing, and the text between them is kept. Where the longest article or main element outweighs the longest
 surge outside of them, only text in such elements has length.
 """
@@ -176,16 +176,18 @@ def surges(sizes: list[int], window: int, threshold: int) -> list[tuple[int, int
     """(first, end) of the runs of lines from a surge to the dive after it.
 
     The sum at a line covers it and the next window - 1 lines. A surge is a line with text whose sum reaches the threshold;
-    the dive is the first line from which a whole window is empty.
+    the dive is the first line from which a whole window is empty. Short lines right before a surge belong to it.
     """
     sums = [sum(sizes[k : k + window]) for k in range(len(sizes))]
     out, k = [], 0
     while k < len(sizes):
         if sizes[k] and sums[k] >= threshold:
-            end = k
+            start, end = k, k
+            while start > (out[-1][1] if out else 0) and sizes[start - 1]:
+                start -= 1
             while end < len(sizes) and sums[end]:
                 end += 1
-            out.append((k, end))
+            out.append((start, end))
             k = end
         else:
             k += 1
@@ -196,9 +198,8 @@ def _teasers(lines: list[Line]) -> set[int]:
     """Articles that begin with a link, as the announcements of other pages do, beside a longer text that isn't one."""
     first, chars = {}, Counter()
     for x in lines:
-        if not x.aside:
-            first.setdefault(x.article, x)
-            chars[x.article] += len(x.text) - x.linked
+        first.setdefault(x.article, x)
+        chars[x.article] += len(x.text) - x.linked
     linked = {k for k, x in first.items() if k and 2 * x.linked > len(x.text)}
     rest = max((n for k, n in chars.items() if k not in linked), default=0)
     return {k for k in linked if chars[k] < rest}
@@ -208,9 +209,10 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     """Blocks of the article, joined by one line feed; empty for null and for pages without text."""
     if not html:
         return ""
-    lines = lines_of(html)
+    lines = [x for x in lines_of(html) if not x.aside]
     teasers = _teasers(lines)
-    sizes = [0 if x.aside or x.article in teasers or 2 * x.linked > len(x.text) and not x.body else len(x.text) for x in lines]
+    lines = [x for x in lines if x.article not in teasers]
+    sizes = [0 if 2 * x.linked > len(x.text) and not x.body else len(x.text) for x in lines]
 
     def found(sizes: list[int]) -> list[tuple[int, int]]:
         return surges(sizes, settings.window, settings.surge) or surges(sizes, settings.window, 1)

@@ -166,3 +166,15 @@ def test_markup_around_the_article(html):
 
 def test_math_and_objects_are_text():
     assert pages.main_text("<article><p>a <math><mi>x</mi></math> b<object>c</object></p></article>") == "a x bc"
+
+
+@pytest.mark.parametrize(
+    "html, first, last",
+    [
+        ("<ul><li><a href='/'>Home</a></ul><h2>Head</h2><div class=share><p>a<p>b<p>c</div>%s", "Head\n", ""),
+        ("%s<div class=ad><p>a<p>b<p>c</div><p>The end.", "", "\nThe end."),
+        ("<p>Roses are red,<br><p>violets blue.<p>So.<p>It.<p>Is.%s", "Roses are red,\nviolets blue.\nSo.\nIt.\nIs.\n", ""),
+    ],
+)
+def test_short_lines_beside_a_surge(html, first, last):
+    assert pages.main_text(html % STORY) == first + STORY_TEXT + last
