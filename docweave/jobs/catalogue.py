@@ -279,11 +279,29 @@ l AS (SELECT page_id, list_filter(list_transform(range(1, len(tags) + 1), lambda
 SELECT page_id, {_STRIP("array_to_string(list_transform(rows, lambda r: CASE r[1] WHEN 'H1' THEN '# ' WHEN 'H2' THEN '## ' WHEN 'H3' THEN '### ' WHEN 'H4' THEN '#### ' ELSE '' END || r[2]), chr(10) || chr(10))")} AS markdown FROM l""",
 )
 def html_to_markdown(spark, sf_dir):
-    """Headings and paragraphs of a page become labelled lines, then Markdown."""
-    pages = table(spark, sf_dir, "pages")
-    tags, texts = (F.regexp_extract_all("html", F.lit(_HTML_BLOCK), F.lit(k)) for k in (1, 2))
-    rows = F.zip_with(tags, texts, lambda tag, text: F.concat(F.upper(tag), F.lit(": "), F.btrim(text, F.lit(WHITE))))
-    return pages.select("page_id", markdown(F.array_join(rows, "\n")).alias("markdown"))
+    """Headings and paragraphs of a page become labelled lines, then Markdown.
+
+    The SQL ends a block's text at its first inline tag and has no block with attributes, so it gives less than this.
+    """
+    return table(spark, sf_dir, "pages").select("page_id", markdown(F.array_join(html_lines(F.col("html")), "\n")).alias("markdown"))
+
+
+_TAG_REST = r"""(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_NO_TEXT = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title){_TAG_REST}.*?(?:</\1\s*>|\z)"
+_ENDS_P = "address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|html|li|main|menu|nav|ol|p|pre|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
+_WHOLE_BLOCK = rf"(?is)<(h[1-4]{_TAG_REST}.*?(?=</?(?:h[1-6]|p)(?=[\s/>])|\z)|p{_TAG_REST}.*?(?=</?(?:{_ENDS_P})(?=[\s/>])|\z))"
+
+
+def html_lines(html: Column) -> Column:
+    """A labelled line for each heading (up to its end tag or the next block) and paragraph (up to any tag of a block), without inline tags."""
+
+    def line(found: Column) -> Column:
+        text = F.regexp_replace(found, rf"(?is)^(?:h[1-4]|p){_TAG_REST}", "")
+        text = F.regexp_replace(text, rf"(?i)</?(?:br|{_ENDS_P}){_TAG_REST}", " ")
+        text = F.regexp_replace(text, rf"</?[a-zA-Z][^\s/>]*+{_TAG_REST}|<[!?][^>]*>", "")
+        return F.concat(F.upper(F.regexp_extract(found, "(?i)^(h[1-4]|p)", 1)), F.lit(": "), F.btrim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "), F.lit(WHITE)))
+
+    return F.transform(F.regexp_extract_all(F.regexp_replace(html, _NO_TEXT, " "), F.lit(_WHOLE_BLOCK), F.lit(1)), line)
 
 
 def _fold_sql(rows: str) -> str:
