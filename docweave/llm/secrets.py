@@ -20,6 +20,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-."
+_SEPARATORS = len(string.ascii_letters + string.digits)  # the codes from here on
 _CODE = np.full(128, len(_ALPHABET), np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
@@ -29,8 +30,8 @@ class Settings:
     """The models are fitted on bounded samples: identifiers of ``sample_docs`` documents with
     ``numbers`` drawn numbers, and ``random_strings`` drawn strings.
 
-    A candidate is a run of at least ``min_chars`` characters of the alphabet; it is reported if its log-likelihood
-    ratio reaches ``min_total`` in all and ``min_mean`` per character.
+    A candidate is a run of at least ``min_chars`` characters of the alphabet, or a stretch of such a run; it is reported if its
+    log-likelihood ratio reaches ``min_total`` in all and ``min_mean`` per character.
     """
 
     sample_docs: int = 400
@@ -106,15 +107,55 @@ def fit(docs: DataFrame, settings: Settings) -> np.ndarray:
     return transitions(random_sample(settings), settings.smoothing) - transitions(ordinary + plain_numbers(settings), settings.smoothing)
 
 
+def stretches(scores: np.ndarray, codes: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: the whole run, or else its best stretch and those on both sides of it.
+
+    The best stretch of at least min_chars has the largest sum above min_mean per character; as it is chosen among many, its total
+    must also exceed min_total by the logarithm of the run's length. It is drawn out to the nearest of / = _ - + where it still holds.
+    """
+    out, todo = [], [(0, len(scores))]
+    while todo:
+        first, end = todo.pop()
+        n = end - first
+        if n < settings.min_chars:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(scores[first:end])])
+        if n == len(scores) and sums[-1] >= settings.min_total and sums[-1] >= settings.min_mean * n:
+            return [(0, n)]
+        above = sums - settings.min_mean * np.arange(n + 1)
+        least = np.minimum.accumulate(above[: n - settings.min_chars + 1])
+        stop = int(np.argmax(above[settings.min_chars :] - least)) + settings.min_chars
+        start = int(np.argmin(above[: stop - settings.min_chars + 1]))
+        if above[stop] < above[start]:
+            continue
+        if sums[stop] - sums[start] >= settings.min_total + np.log(len(scores)):
+            low, high = start, stop
+            while low > 0 and codes[first + low - 1] < _SEPARATORS:
+                low -= 1
+            while high < n and codes[first + high] < _SEPARATORS:
+                high += 1
+            start = low if above[stop] >= above[low] else start
+            stop = high if above[high] >= above[start] else stop
+            out.append((first + start, first + stop))
+            todo += [(first, first + start), (first + stop, end)]
+    return out
+
+
 def random_spans(text: str, ratios: np.ndarray, settings: Settings, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs that are more likely random than ordinary and don't overlap the spans already taken."""
+    """Stretches of runs that are more likely random than ordinary; the spans already taken are cut out of the runs."""
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_chars, text):
-        codes = _CODE[np.frombuffer(m[0].encode("ascii"), np.uint8)]
-        score = ratios[np.concatenate([[len(_ALPHABET)], codes[:-1]]), codes].sum()
-        if score >= settings.min_total and score >= settings.min_mean * len(codes) and not any(s < m.end() and m.start() < e for s, e, _ in taken):
-            out.append((m.start(), m.end(), "random"))
-    return out
+        pieces, at = [], m.start()
+        for start, end, _ in sorted(taken):
+            if start < m.end() and m.start() < end:
+                pieces.append((at, start))
+                at = max(at, end)
+        for start, end in [*pieces, (at, m.end())]:
+            if end - start >= settings.min_chars:
+                codes = _CODE[np.frombuffer(text[start:end].encode("ascii"), np.uint8)]
+                scores = ratios[np.concatenate([[len(_ALPHABET)], codes[:-1]]), codes]
+                out += [(start + a, start + b, "random") for a, b in stretches(scores, codes, settings)]
+    return sorted(out)
 
 
 def scanner(ratios: np.ndarray, settings: Settings):

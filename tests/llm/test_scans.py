@@ -50,6 +50,23 @@ def test_models_tell_held_out_strings_apart(spark):
     assert sum(map(hit, plain)) <= 0.005 * len(plain)
 
 
+def test_random_stretches_of_long_runs(spark):
+    """A key is found within a path or a name, and beside a base span in one run."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    settings, draw, found = secrets.Settings(), random.Random(7), 0
+    ratios = secrets.fit(docs, settings)
+    words = [w for r in docs.limit(50).collect() for w in re.findall("[a-z]{4,}", r["text"])]
+    plain = lambda sep: sep.join(draw.choices(words, k=12))
+    for k in range(200):
+        key = "".join(draw.choices(string.ascii_letters + string.digits, k=32))
+        text = (f"/{plain('/')}/{key}", f"{plain('_')}={key}", f"{plain('/')}/{key}/{plain('/')}", f"{'0123456789abcdef' * 2}/{key}")[k % 4]
+        spans = secrets.random_spans(text, ratios, settings, secrets.base_spans(text))
+        found += any(s <= text.index(key) + 2 and e >= text.index(key) + 30 and e - s <= 48 for s, e, _ in spans)
+    assert found >= 190
+    names = [plain(sep) for sep in "/_-" for _ in range(500)]
+    assert sum(bool(secrets.random_spans(x, ratios, settings, [])) for x in names) <= 0.005 * len(names)
+
+
 def test_licenses(docs_of):
     texts = [
         "ALL RIGHTS  reserved. General-Public License, cc by 4.0; cc bye",
