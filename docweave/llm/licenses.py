@@ -55,6 +55,16 @@ def places(line: bytes, phrase: str) -> list[int]:
     return out
 
 
+def matches(pattern: regex.Pattern, line: str, start: int, end: int) -> Iterator[regex.Match]:
+    """The best match, then those before and after it: the pattern's own iteration would only go on after the best one."""
+    todo = [(start, end)]
+    while todo:
+        start, end = todo.pop()
+        if m := pattern.search(line, start, end):
+            yield m
+            todo += [(start, m.start()), (m.end(), end)]
+
+
 class Searcher:
     """Finds notices with at most k errors.
 
@@ -93,7 +103,7 @@ class Searcher:
         for k, spans in windows.items():
             pattern, _, _ = self.fuzzy[k]
             for start, end in spans:
-                found += [(*m.span(), self.labels[k], sum(m.fuzzy_counts)) for m in pattern.finditer(line, start, end)]
+                found += [(*m.span(), self.labels[k], sum(m.fuzzy_counts)) for m in matches(pattern, line, start, end)]
         return sorted(x for x in found if not any(y[3] < x[3] and y[0] < x[1] and x[0] < y[1] for y in found))
 
 

@@ -84,6 +84,20 @@ def test_licenses(docs_of):
     assert found[5]["first_word"] == 1
 
 
+def test_several_notices_in_one_text():
+    """Notices with more errors stand before, between and after better ones."""
+    search = licenses.Searcher(licenses.Settings())
+    found = search.search(" all right reserved all rights reserved ")
+    assert [x[:2] + x[3:] for x in found] == [(1, 19, 1), (20, 39, 0)]
+    draw = random.Random(3)
+    for notice, label in licenses.NOTICES.items():
+        for _ in range(5):
+            errors = [draw.randrange(len(notice) // 10 + 1) for _ in range(6)]
+            texts = [notice[:3] + notice[3 + e :] for e in errors]
+            found = search.search(f" {' '.join(texts)} ")
+            assert sum(x[2] == label for x in found) == 6, (notice, errors)
+
+
 def test_every_edit_within_the_bound_is_found():
     """Exact seeds miss no match that the whole pattern alone would find."""
     search = licenses.Searcher(licenses.Settings())
