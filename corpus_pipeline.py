@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import decontamination, mixing, neardup, quality, sharding
-from docweave.llm.shared import mark, remove, shared_dir, written_since
-
-_of_last_stage: list[str] = []
-
+from docweave.llm.shared import forget, mark, new_path, remove, roots, written_since
 
 def _step(spark: SparkSession, result: Callable[[], DataFrame]) -> DataFrame:
-    """result(), after the tables that the stage before left in the shared folder are gone: that stage's rows are written by now."""
-    while _of_last_stage:
-        remove(spark, _of_last_stage.pop())
+    """result(), after which the tables that it wrote and its rows no longer need are gone. Those behind its rows stay."""
     start = mark()
     out = result()
-    _of_last_stage.extend(written_since(start))
+    needed = roots(out)
+    for path in written_since(start):
+        if not any(root.endswith(path.rsplit("/", 1)[-1]) for root in needed):
+            remove(spark, path)
+            forget(path)
     return out
 
 
@@ -55,13 +53,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents. A stage's rows stay in the shared folder until the next stage's are written."""
-    docs, base, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", ""
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """Apply the stages to documents.
+
+    Once a stage's rows are written, the tables behind it and the rows of the stage before are removed. What this call has not written, and
+    what stands behind the DataFrame it returns, is never touched.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        start = mark()
+        rows = stage(spark, docs, sf_dir)
+        behind = written_since(start)
+        path = new_path(spark, "pipeline")
+        rows.write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
+        for table in [*behind, *before]:
+            remove(spark, table)
+            forget(table)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,14 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_tables: list[str] = []
+#: Paths handed out, by thread: calls side by side don't see each other's.
+_of_thread = threading.local()
+
+
+def _tables() -> list[str]:
+    if not hasattr(_of_thread, "tables"):
+        _of_thread.tables = []
+    return _of_thread.tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
-    _tables.append(path)
+    _tables().append(path)
     return path
 
 
@@ -57,12 +65,29 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def mark() -> int:
     """A point in time for written_since()."""
-    return len(_tables)
+    return len(_tables())
 
 
 def written_since(since: int) -> list[str]:
     """The paths handed out since a mark()."""
-    return _tables[since:]
+    return _tables()[since:]
+
+
+def forget(path: str) -> None:
+    """A path that is gone is no longer listed by written_since()."""
+    if path in _tables():
+        _tables().remove(path)
+
+
+def roots(df: DataFrame) -> list[str]:
+    """Folders and files that the plan of df reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            paths = leaf.relation().location().rootPaths()
+            out += [paths.apply(n).toString() for n in range(paths.size())]
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

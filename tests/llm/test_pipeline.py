@@ -16,3 +16,15 @@ def test_stages(spark):
         assert name == "shards" or docs.columns == columns
     assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[4] == counts[5] > 0
     assert corpus_pipeline.run(spark, sf_dir).count() == counts[-1]
+
+
+def test_later_calls_leave_earlier_results_alone(spark):
+    """Two runs, and stages called before the results of others are read."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = corpus_pipeline.run(spark, sf_dir)
+    stages = [stage(spark, docs, sf_dir) for _, stage in corpus_pipeline.STAGES]
+    second = corpus_pipeline.run(spark, sf_dir)
+    assert all(x.count() > 0 for x in stages)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(first) == shown(second)
