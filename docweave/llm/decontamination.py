@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import ALNUM_WORD, ascii_lower, row_key, stored
+from docweave.llm.shared import ALNUM_WORD, ascii_lower, row_key, stored, tidy
 
 WINDOW = 10
 #: A table is broadcast only after its rows were counted: at most so many, of bounded width. Beyond it, joins shuffle.
@@ -92,6 +92,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame
     return whole.where("got = n").select("doc_id", "_key", "win", "start", "n", (F.col("here") == F.col("n")).alias("exact"))
 
 
+@tidy
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document row: doc_id, _key, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
@@ -129,6 +130,7 @@ def _outer(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return wide(a).unionByName(wide(b)).groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest])
 
 
+@tidy
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs in which no benchmark window occurs."""
     dirty = contamination(docs, items, doc_id, text).where("contaminated").select(F.col("doc_id").alias("__leak_id"), F.col("_key").alias("__leak_key")).distinct()

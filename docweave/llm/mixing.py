@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import NOT_SPACE, stored
+from docweave.llm.shared import NOT_SPACE, stored, tidy
 
 #: Range partitions that the ranking of the sources uses, and so the most rows it brings to the driver.
 RANK_PARTITIONS = 8
@@ -41,6 +41,7 @@ def _ranked(per_source: DataFrame) -> DataFrame:
     return parts.withColumn("rank", F.col("_at") + start).drop("_at", "_part")
 
 
+@tidy
 def source_targets(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source: source_size, weight, target.
 
@@ -85,6 +86,7 @@ def with_copies(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     return docs.join(of, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("copies", copies(rate, F.col(doc_id), seed))
 
 
+@tidy
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, **shares) -> DataFrame:
     """Every document as often as its source's rate asks for; the columns stay those of docs.
 
@@ -101,6 +103,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     )
 
 
+@tidy
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.components import components
-from docweave.llm.shared import stored
+from docweave.llm.shared import stored, tidy
 
 
 @dataclass(frozen=True)
@@ -278,6 +278,7 @@ class NearDuplicates:
         return components(links.union(self.verified(more)))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id that links reach), kept.
 
@@ -291,6 +292,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     return run.signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+@tidy
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of docs for each component: that with the smallest id."""
     keep = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("__neardup_id")).distinct()

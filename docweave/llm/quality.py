@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import bound
-from docweave.llm.shared import NOT_SPACE, stored
+from docweave.llm.shared import NOT_SPACE, stored, tidy
 
 # Common words of each language.
 COMMON_WORDS = {
@@ -143,6 +143,7 @@ def judged(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.withColumn("kept", kept)
 
 
+@tidy
 def quality(docs: DataFrame, limits: Limits = Limits(), **columns: str) -> DataFrame:
     """Verdict per document: base counts, base_failed, char_distance, word_distance, kept.
 
@@ -152,6 +153,7 @@ def quality(docs: DataFrame, limits: Limits = Limits(), **columns: str) -> DataF
     return judged(stored(measured(docs, **columns), "measured"), limits)
 
 
+@tidy
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs, as they are, that the rules keep."""
     slim = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text", "lang").alias("_key"))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import stored
+from docweave.llm.shared import stored, tidy
 
 #: Groups of at least 1 / (shards * GRAIN) of all bytes are packed one by one, so there are at most shards * GRAIN of them.
 GRAIN = 1000
@@ -103,6 +103,7 @@ def pack(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
     return where | {name: first + k for k, each in enumerate(bins) for _, name in each}
 
 
+@tidy
 def shard_by_bytes(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, shard, slot.
 

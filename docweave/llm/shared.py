@@ -6,10 +6,13 @@ so a lost executor only costs the tasks it ran, and they never live on one machi
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import functools
 import os
 import tempfile
-import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +24,10 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Paths handed out, by thread: calls side by side don't see each other's.
-_of_thread = threading.local()
-
-
-def _tables() -> list[str]:
-    if not hasattr(_of_thread, "tables"):
-        _of_thread.tables = []
-    return _of_thread.tables
+#: The tables that the innermost tidy() call has written so far.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+#: With it, Spark removes the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,38 +44,76 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     path = f"{shared_dir(spark)}/docweave-{name}-{uuid.uuid4().hex}"
-    _tables().append(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return path
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back."""
+    """Write df as a table in the shared folder and read it back. Its shuffle files go at once, the table at the latest with the driver."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    where, files = _found(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
+def _found(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def mark() -> int:
-    """A point in time for written_since()."""
-    return len(_tables())
-
-
-def written_since(since: int) -> list[str]:
-    """The paths handed out since a mark()."""
-    return _tables()[since:]
-
-
-def forget(path: str) -> None:
-    """A path that is gone is no longer listed by written_since()."""
-    if path in _tables():
-        _tables().remove(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder through Hadoop's file system."""
+    where, files = _found(spark, path)
+    files.delete(where, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, after which the tables that it has written and its rows don't read are gone.
+
+    Those behind its rows stay until release(), or until the driver ends.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        around, own = _written.get(), []
+        token = _written.set(own)
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            _written.reset(token)
+        behind = {os.path.basename(root) for root in roots(out)}
+        for path in own:
+            if os.path.basename(path) not in behind:
+                remove(out.sparkSession, path)
+            elif around is not None:
+                around.append(path)
+        return out
+
+    return run
+
+
+def release(df: DataFrame) -> None:
+    """Remove the tables of the shared folder that df reads, once its rows have been written or used."""
+    for root in roots(df):
+        if os.path.basename(root).startswith("docweave-"):
+            remove(df.sparkSession, root)
 
 
 def roots(df: DataFrame) -> list[str]:

@@ -21,7 +21,7 @@ from pyarrow import fs as files
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import new_path, remove, stored
+from docweave.llm.shared import new_path, remove, stored, tidy
 
 
 @dataclass(frozen=True)
@@ -187,6 +187,7 @@ def read_records(index: DataFrame, settings: Settings = Settings()) -> DataFrame
     return rows.mapInArrow(reader(settings), "page_id long, url string, record_type string, payload_digest string, payload binary, refers_to long")
 
 
+@tidy
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Write all pages as WARC records, read all records back, and report each page's payload and record type.
 
