@@ -2,51 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import decontamination, mixing, neardup, quality, sharding
-from docweave.llm.shared import forget, mark, new_path, remove, roots, written_since
-
-def _step(spark: SparkSession, result: Callable[[], DataFrame]) -> DataFrame:
-    """result(), after which the tables that it wrote and its rows no longer need are gone. Those behind its rows stay."""
-    start = mark()
-    out = result()
-    needed = roots(out)
-    for path in written_since(start):
-        if not any(root.endswith(path.rsplit("/", 1)[-1]) for root in needed):
-            remove(spark, path)
-            forget(path)
-    return out
-
-
-def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules."""
-    return _step(spark, lambda: quality.kept_documents(docs))
-
-
-def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return _step(spark, lambda: neardup.one_of_each(docs))
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark passage."""
-    return _step(spark, lambda: decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the target of its source asks for."""
-    return _step(spark, lambda: mixing.mix(docs))
-
-
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal texts together in 16 shards of near equal bytes."""
-    return _step(spark, lambda: sharding.shard_by_bytes(docs))
-
+from docweave.llm import stages
+from docweave.llm.shared import new_path, release
 
-STAGES = [("quality rules", good), ("near duplicates", deduplicated), ("benchmark decontamination", decontaminated), ("mix sources", mixed), ("shards", sharded)]
+STAGES = [
+    ("quality rules", stages.good),
+    ("near duplicates", stages.deduplicated),
+    ("benchmark decontamination", stages.decontaminated),
+    ("mix sources", stages.mixed),
+    ("shards", stages.sharded),
+]
 
 #: The stages draw on hashes and trained references, which SQL alone doesn't give; tests compare with brute force.
 ORACLE_SQL = None
@@ -55,19 +22,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents.
 
-    Once a stage's rows are written, the tables behind it and the rows of the stage before are removed. What this call has not written, and
-    what stands behind the DataFrame it returns, is never touched.
+    Once a stage's rows are written, the tables behind them (the rows of the stage before among these) are removed. What stands behind the
+    DataFrame that this call returns stays.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        start = mark()
-        rows = stage(spark, docs, sf_dir)
-        behind = written_since(start)
-        path = new_path(spark, "pipeline")
+        rows, path = stage(spark, docs, sf_dir), new_path(spark, "pipeline")
         rows.write.parquet(path)
         docs = spark.read.parquet(path)
-        for table in [*behind, *before]:
-            remove(spark, table)
-            forget(table)
-        before = [path]
+        release(rows)
     return STAGES[-1][1](spark, docs, sf_dir)
