@@ -6,7 +6,7 @@ after each pass:
 1. Every window (suffix of threshold length) belongs to the string of ``anchor`` tokens of least hash within it, which is
    the same in every copy of the window. Consecutive windows with one anchor are a piece. Pieces are grouped by anchor, and equal
    pieces under an anchor become one with a number of copies. Hashes serve here: one of 64 bits to drop anchors that no
-   other piece has (which can't lose anything) and 192 bits to merge equal pieces.
+   other piece has (which can't lose anything) and another, together with it, to merge equal pieces.
 2. What is left, pieces that share an anchor but differ, is ordered by its bytes. Up to ``run`` neighbouring suffixes travel
    together as long as passes look at the tokens that all of them have (the core): passes go from the most significant byte group to
    the least, and split groups by the next ``DIGIT`` bytes.
@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import row_key, stored, tidy
+from docweave.llm.shared import release, row_key, stored, tidy
 
 #: Bytes that a pass looks at; the last of the PASSES looks at all that is left of a core.
 DIGIT = 128
@@ -121,22 +122,20 @@ def tokens_of(codes: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[list
 
 
 def pieces(values: list[np.ndarray], offsets: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...] | None:
-    """(text, anchor hash, two piece hashes, first window, last window, anchor position) of each piece; None if all texts are too short."""
+    """(text, anchor hash, piece hash, first window, last window, anchor position) of each piece; None if all texts are too short."""
     lens = np.maximum(np.diff(offsets) - settings.length + 1, 0)
     if not lens.any():
         return None
     text = np.repeat(np.arange(len(lens)), lens)
     at = np.repeat(offsets[:-1] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())  # all windows within a text
-    first_hash = Hashes(values[0], 0)
-    anchors = first_hash.every(settings.anchor)
+    anchors = Hashes(values[0], 0).every(settings.anchor)
     place = least_at(anchors, settings.length - settings.anchor + 1)[at]
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(text) != 0)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
     text, place, first, last = text[first], place[first], at[first], at[last]
-    shift = (place - first).astype(np.uint64)
-    whole = [_scatter(h(first, last + settings.length) + shift) for h in (Hashes(values[1], 1), first_hash)]
+    whole = Hashes(values[1], 1)(first, last + settings.length)
     start = offsets[text]
-    return text, _scatter(anchors[place] + np.uint64(settings.words)), *whole, first - start, last - start, place - start
+    return text, _scatter(anchors[place] + np.uint64(settings.words)), _scatter(whole + (place - first).astype(np.uint64)), first - start, last - start, place - start
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -164,15 +163,15 @@ def pieces_of(codes: np.ndarray, offsets: np.ndarray, settings: Settings) -> Ite
         b = min(n, a + _CHUNK + settings.length - 1)
         found = pieces([v[a:b] for v in values], np.array([0, b - a]), settings)
         if found is not None:
-            yield *found[:4], *(x + a for x in found[4:])
+            yield *found[:3], *(x + a for x in found[3:])
 
 
-_PIECE = "words boolean, anchor long, piece long, piece2 long, doc_id long, key long, lo int, hi int, at int"
+_PIECE = "words boolean, anchor long, piece long, doc_id long, key long, lo int, hi int, at int"
 
 
 def cutter(units: tuple[Settings, ...]):
     """Batches of (doc_id, key, bytes) to pieces of each kind of tokens."""
-    names = ["words", "anchor", "piece", "piece2", "doc_id", "key", "lo", "hi", "at"]
+    names = ["words", "anchor", "piece", "doc_id", "key", "lo", "hi", "at"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +181,9 @@ def cutter(units: tuple[Settings, ...]):
             for first, end in _chunks(np.diff(ends)):
                 low = ends[first]
                 for unit in units:
-                    for text, anchor, piece, piece2, lo, hi, at in pieces_of(codes[low : ends[end]], ends[first : end + 1] - low, unit):
+                    for text, anchor, piece, lo, hi, at in pieces_of(codes[low : ends[end]], ends[first : end + 1] - low, unit):
                         own = pa.array(text + first)
-                        columns = [pa.array(np.full(len(text), unit.words)), *(pa.array(x.view(np.int64)) for x in (anchor, piece, piece2)), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at))]
+                        columns = [pa.array(np.full(len(text), unit.words)), *(pa.array(x.view(np.int64)) for x in (anchor, piece)), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at))]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return cut
@@ -274,7 +273,8 @@ def sorted_runs(runs: DataFrame) -> DataFrame:
         groups = rows.groupBy(*by).agg(F.min("rid").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         groups = stored(groups, "radix-groups")
         kept = [c for c in runs.columns if c not in ("grp", "core")]
-        runs = stored(rows.join(groups, by).select(F.col("next").alias("grp"), rest.alias("core"), *kept), "radix-runs")
+        before, runs = runs, stored(rows.join(groups, by).select(F.col("next").alias("grp"), rest.alias("core"), *kept), "radix-runs")
+        release(before)
     return runs.drop("core")
 
 
@@ -284,17 +284,23 @@ def repeated_spans(docs: DataFrame, units: tuple[Settings, ...] = (Settings(),))
     for u in units:
         length = F.when(F.col("words") == u.words, F.lit(u.length)).otherwise(length)
     found = stored(docs.mapInArrow(cutter(units), _PIECE), "pieces")
+    end = (F.col("hi") + length).alias("end")
+    # Anchors of several pieces, and whether these differ. Only longs are grouped, and rows meet the stored result, so a hot anchor can be split.
+    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("_least"), F.max("piece").alias("_most")).where("n > 1")
+    anchors = stored(anchors.select("anchor", (F.col("_least") != F.col("_most")).alias("differ")), "repeated-anchors")
+    again = stored(found.join(anchors, "anchor"), "repeated-pieces")
+    release(found)
+    spans = [again.where("not differ").select("words", "doc_id", "key", "lo", end)]
+    open_ = again.where("differ")
     one = F.min(F.struct("doc_id", "key", "lo", "hi", "at", "words")).alias("one")
-    equal = stored(found.groupBy("anchor", "piece", "piece2").agg(F.count(F.lit(1)).alias("copies"), one), "equal-pieces")
-    anchors = equal.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("n")).where("n > 1").select("anchor", "kinds")
-    again = stored(equal.join(anchors, "anchor"), "repeated-anchors")
-    whole = again.where("copies > 1").select("anchor", "piece", "piece2")
-    spans = [stored(found.join(whole, ["anchor", "piece", "piece2"], "left_semi").select("words", "doc_id", "key", "lo", (F.col("hi") + length).alias("end")), "spans")]
+    equal = stored(open_.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("copies"), one), "equal-pieces")
+    whole = equal.where("copies > 1").select("anchor", "piece")
+    spans.append(stored(open_.join(whole, ["anchor", "piece"], "left_semi").select("words", "doc_id", "key", "lo", end), "spans"))
 
     # Pieces of one kind under an anchor of several kinds: one of each, as runs with their bytes.
     # A repeated row brings its runs twice; they are copies already, so nothing changes for them.
     wanted = F.struct("one.words", "anchor", "one.lo", "one.hi", "one.at", "copies")
-    lists = again.where("kinds > 1").groupBy(F.col("one.doc_id").alias("_d"), F.col("one.key").alias("_k")).agg(F.collect_list(wanted).alias("wanted"))  # a text's own pieces
+    lists = equal.groupBy(F.col("one.doc_id").alias("_d"), F.col("one.key").alias("_k")).agg(F.collect_list(wanted).alias("wanted"))  # a text's own pieces
     texts = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc_id", "key", "data", "wanted")
     runs = stored(texts.mapInArrow(runner(units), _RUN).withColumn("rid", F.monotonically_increasing_id()), "runs")
     runs = sorted_runs(runs)
@@ -314,7 +320,7 @@ def repeated_spans(docs: DataFrame, units: tuple[Settings, ...] = (Settings(),))
     twice = windows.groupBy(*last).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*last)
     hits = windows.where("asked").join(twice, last, "left_semi")
     spans.append(stored(hits.select("words", "doc_id", "key", "lo", (F.col("lo") + length).alias("end")), "spans"))
-    return spans[0].unionByName(spans[1]).unionByName(spans[2])
+    return reduce(DataFrame.unionByName, spans)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -74,7 +74,7 @@ def test_sections_of_long_texts(docs_of, monkeypatch):
         windows = []
         for t in texts:
             codes = np.frombuffer(t.encode(), np.uint8)
-            own = [x for p in module.pieces_of(codes, np.array([0, len(codes)]), settings) for x in zip(*(c.tolist() for c in p[4:]))]
+            own = [x for p in module.pieces_of(codes, np.array([0, len(codes)]), settings) for x in zip(*(c.tolist() for c in p[3:]))]
             windows.append(sorted(w for lo, hi, _ in own for w in range(lo, hi + 1)))
             n = len(t.split()) if settings.words else len(t)
             assert windows[-1] == list(range(n - settings.length + 1))
