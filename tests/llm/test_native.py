@@ -130,3 +130,42 @@ def test_shards_of_near_equal_bytes(spark):
     found = QUERIES["op10_shards"](spark, str(DATA / "sf0.01")).toPandas()
     sizes = found.groupby("shard")["size"].sum()
     assert len(sizes) == 16 and sizes.max() - sizes.min() < 0.01 * sizes.mean()
+
+
+def test_every_small_group_is_packed():
+    """Counted sizes against best fit of single items by a plain search, 100,000 small groups among them."""
+    import random
+
+    draw = random.Random(3)
+    for _ in range(200):
+        items = [(draw.randint(1, 12), k) for k in range(draw.randint(1, 40))]
+        capacity, free, where = draw.randint(12, 30), [], {}
+        for size, name in sorted(items, key=lambda x: (-x[0], str(x[1]))):
+            fits = [(f, k) for k, f in enumerate(free) if f >= size]
+            k = min(fits)[1] if fits else len(free)
+            free[k:] = [capacity] if not fits else free[k:]
+            free[k] -= size
+            where[name] = k
+        bins = sharding.best_fit_decreasing(items, capacity)
+        assert [sum(size for size, _ in b) for b in bins] == [capacity - f for f in free]
+        assert all(Counter(size for size, _ in b) == Counter(size for size, name in items if where[name] == k) for k, b in enumerate(bins))
+    sizes = Counter(int(draw.paretovariate(1.2) * 40) for _ in range(100_000))
+    placed = sharding.plan(list(sizes.items()), 16)
+    assert Counter(size for size, _, number in placed for _ in range(number)) == sizes
+    loads = Counter()
+    for size, shard, number in placed:
+        loads[shard] += size * number
+    rest = [n for k, n in loads.items() if n < 1.5 * sum(loads.values()) / 16]
+    assert len(loads) == 16 and max(rest) - min(rest) <= max(1, max(rest) // 10_000)
+
+
+def test_written_shards(spark, docs_of, tmp_path):
+    docs = docs_of([*ODD, *((100 + k, f"text {k % 40}") for k in range(100))])
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    plain = lambda df: sorted(map(repr, (tuple(r[c] for c in docs.columns) for r in df.collect())))
+    assert plain(back) == plain(docs)
+    shards = defaultdict(set)
+    for r in back.collect():
+        shards[r["text"] or ""].add(r["out_shard"])
+    assert all(len(x) == 1 for x in shards.values())
