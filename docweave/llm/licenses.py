@@ -28,6 +28,7 @@ NOTICES = {
     "this work is in the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
+MAX_NOTICES = 10_000
 #: Bytes of words; all others become spaces. Letters are lower-cased in the same pass.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -65,6 +66,17 @@ def matches(pattern: regex.Pattern, line: str, start: int, end: int) -> Iterator
             todo += [(start, m.start()), (m.end(), end)]
 
 
+def joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans that touch as one; a later seed's window may begin before an earlier one's."""
+    out: list[list[int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return out
+
+
 class Searcher:
     """Finds notices with at most k errors.
 
@@ -88,35 +100,40 @@ class Searcher:
 
     def search(self, line: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, errors) in characters of the normalised text; of finds that overlap, those with the fewest errors stay."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.seeds.iter(line):
             for k, offset in where:
                 _, length, errors = self.fuzzy[k]
                 start = max(0, last - size + 1 - offset - errors - 1)
                 end = min(len(line), last - size + 1 - offset + length + errors + 1)
-                own = windows.setdefault(k, [])
-                if own and start <= own[-1][1]:
-                    own[-1][1] = max(end, own[-1][1])
-                else:
-                    own.append([start, end])
+                windows.setdefault(k, []).append((start, end))
         found = []
         for k, spans in windows.items():
             pattern, _, _ = self.fuzzy[k]
-            for start, end in spans:
+            for start, end in joined(spans):
                 found += [(*m.span(), self.labels[k], sum(m.fuzzy_counts)) for m in matches(pattern, line, start, end)]
         return sorted(x for x in found if not any(y[3] < x[3] and y[0] < x[1] and x[0] < y[1] for y in found))
 
 
 @cache
-def _searcher(settings: Settings) -> Searcher:
-    return Searcher(settings)
+def _searcher(settings: Settings, notices: tuple[tuple[str, str], ...]) -> Searcher:
+    return Searcher(settings, dict(notices))
+
+
+def notice_list(notices: DataFrame) -> dict[str, str]:
+    """The notices (notice, label) of a table in normal form: words joined by one space. A small reference table: more than MAX_NOTICES rows are an error."""
+    rows = notices.select("notice", "label").where("notice is not null and label is not null").orderBy("notice", "label").limit(MAX_NOTICES + 1).collect()
+    if len(rows) > MAX_NOTICES:
+        raise ValueError(f"more than {MAX_NOTICES} notices")
+    normal = {b" ".join(word_list(r["notice"])).decode(): r["label"] for r in rows}
+    return {notice: label for notice, label in normal.items() if notice}
 
 
-def scanner(settings: Settings):
+def scanner(settings: Settings, notices: tuple[tuple[str, str], ...]):
     """Batches of (doc_id, text) to counts, labels and spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _searcher(settings).search
+        search = _searcher(settings, notices).search
         names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:
             columns: list[list] = [[] for _ in names[1:]]
@@ -128,7 +145,7 @@ def scanner(settings: Settings):
                 base_labels = {BASE[p] for p, x in base.items() if x}
                 text = line.decode("utf-8", "surrogatepass")
                 found = search(text)
-                spans = [f"{label}:{text.count(' ', 0, s)}:{text.count(' ', 0, e)}:{errors}" for s, e, label, errors in found] if found else []
+                spans = [f"{label}:{max(1, text.count(' ', 0, s)) - 1}:{text.count(' ', 0, e)}:{errors}" for s, e, label, errors in found] if found else []
                 best = max((1 - errors / max(1, e - s) for s, e, _, errors in found), default=0.0)
                 row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {x[2] for x in found})), 1.0 if starts else max(0.0, best), ",".join(spans))
                 for column, x in zip(columns, row):
@@ -139,14 +156,17 @@ def scanner(settings: Settings):
     return scan
 
 
-def licenses(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", notices: DataFrame | None = None) -> DataFrame:
     """Per document: counts and places of the base phrases, labels, score (1 for an exact phrase, else the best notice's similarity), spans.
 
-    spans lists label:first word:word after the last:errors of the fuzzy notices. One pass without a shuffle. Null texts
-    count as empty; each row has its own result; an empty table gives no rows.
+    spans lists label:first word:word after the last:errors of the fuzzy notices, which are NOTICES or the table notices (notice, label).
+    One pass without a shuffle. Null and empty texts have no words and score 0; each row, repeated or not, with whatever id, has its own
+    result; very long texts are searched whole; of notices that overlap, those with the fewest errors stay, and ties all stay. Other columns
+    aren't looked at. An empty table gives no rows.
     """
+    listed = tuple(sorted((NOTICES if notices is None else notice_list(notices)).items()))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(scanner(settings), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return rows.mapInArrow(scanner(settings, listed), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,16 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Identifiers of this form name records; they are no keys.
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
+# Words and abbreviations that names in programs are made of.
+NAME_WORDS = (
+    "access account action add address admin agent alloc amd android api app arch archive arg array async attr auth auto back base batch begin bin bit block body bool boot bounds box branch browser buffer build byte cache call cert char check child class clean click client clock close cloud cmd code collect color column command commit common compare config connect const content context control copy core count cpu create css ctx current "
+    "data database date debug decode default delete deploy depth desc device dict dir disk display dns doc domain double down download driver edit element enable encode end engine entry env error event exec exit export factory fail fetch field file filter find first flag float flush font format free from func gateway get global graph group handler hash head header height host html icon idx image import index info init inner input insert install int item iter java job json kernel key "
+    "label language last layer layout len level lib limit line link linux list load local lock log login loop mac main make manager map mask master match max memory merge message meta method min mobile mode model module mount mutex name net next node note null num object offset open option order out output owner page panel param parent parse patch path pixel plugin point pool port post prefix print process product profile program project proxy public python query queue "
+    "random range rate read record ref refresh regex region register release remote remove render repo request reset resize resource response result retry return role root route row rule run sample scale schema scope screen script search section select send server service session set shape shared size slice socket sort source span spark stack start state static status step stop storage store stream string style submit sum swap switch sync system "
+    "tab table tag target task temp template test text thread throw time title toggle tool top total trace track train tree type unit update upload url user util valid value variable vector version video view virtual wait web widget width win window word work worker write xml zip zone"
+).split()
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 _SEPARATORS = len(string.ascii_letters + string.digits)  # the codes from here on
 _CODE = np.full(128, len(_ALPHABET), np.int64)
@@ -27,14 +37,16 @@ _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 
 @dataclass(frozen=True)
 class Settings:
-    """The models are fitted on bounded samples: identifiers of ``sample_docs`` documents with
-    ``numbers`` drawn numbers, and ``random_strings`` drawn strings.
+    """The models are fitted on bounded samples: identifiers of ``sample_docs`` documents (of each at most ``sample_chars``
+    characters), ``names`` names as programs have them, ``numbers`` drawn numbers, and ``random_strings`` drawn strings.
 
     A candidate is a run of at least ``min_chars`` characters of the alphabet, or a stretch of such a run; it is reported if its
     log-likelihood ratio reaches ``min_total`` in all and ``min_mean`` per character.
     """
 
     sample_docs: int = 400
+    sample_chars: int = 20_000
+    names: int = 6000
     random_strings: int = 4000
     numbers: int = 2000
     min_chars: int = 16
@@ -77,6 +89,24 @@ def identifiers(text: str) -> list[str]:
     return runs + joined + camel
 
 
+def names(words: list[str], settings: Settings) -> list[str]:
+    """More labelled negatives: names of one to five words in the shapes that programs, files and versions have."""
+    draw = random.Random(settings.seed + 2)
+
+    def part() -> str:
+        word = draw.choice(NAME_WORDS if draw.random() < 0.7 or not words else words)
+        if draw.random() < 0.15:
+            word = word[: draw.randint(1, 4)]
+        return word + (draw.choice(["", "", "v"]) + str(draw.choice([2, 3, 8, 16, 32, 64, 128, 256, draw.randint(0, 99), draw.randint(1990, 2039)])) if draw.random() < 0.15 else "")
+
+    out = []
+    for k in range(settings.names):
+        parts = [part() for _ in range(draw.randint(1, 5))]
+        pascal = "".join(w.upper() if len(w) < 5 and draw.random() < 0.3 else w.capitalize() for w in parts)
+        out.append((pascal, parts[0] + pascal[len(parts[0]) :], "_".join(parts), "_".join(parts).upper(), "-".join(parts), "/".join(parts), "_".join(w.capitalize() for w in parts), "-".join(["_".join(parts[:2]), *parts[2:], str(draw.randint(0, 2039))]))[k % 8])
+    return out
+
+
 def plain_numbers(settings: Settings) -> list[str]:
     """More labelled negatives: numbers as in accounts, telephones and dates, which are no keys."""
     draw = random.Random(settings.seed + 1)
@@ -101,10 +131,11 @@ def fit(docs: DataFrame, settings: Settings) -> np.ndarray:
     span = 1 << 40
     most = min(1.0, 4 * settings.sample_docs / max(1, docs.count())) * span
     rank = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id"), F.col("text")), F.lit(span))
-    few = docs.select("text", rank.alias("rank")).where((F.col("rank") <= F.lit(int(most))) & (F.length("text") > 0))
+    few = docs.select(F.substring("text", 1, settings.sample_chars).alias("text"), rank.alias("rank")).where((F.col("rank") <= F.lit(int(most))) & (F.length("text") > 0))
     sample = few.orderBy("rank").limit(settings.sample_docs).select("text").collect()
     ordinary = [s for r in sample for s in identifiers(r["text"])]
-    return transitions(random_sample(settings), settings.smoothing) - transitions(ordinary + plain_numbers(settings), settings.smoothing)
+    words = [s.lower() for s in ordinary if s.isalpha() and 3 <= len(s) <= 12]
+    return transitions(random_sample(settings), settings.smoothing) - transitions(ordinary + names(words, settings) + plain_numbers(settings), settings.smoothing)
 
 
 def stretches(scores: np.ndarray, codes: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
@@ -142,11 +173,11 @@ def stretches(scores: np.ndarray, codes: np.ndarray, settings: Settings) -> list
 
 
 def random_spans(text: str, ratios: np.ndarray, settings: Settings, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Stretches of runs that are more likely random than ordinary; the spans already taken are cut out of the runs."""
-    out = []
+    """Stretches of runs that are more likely random than ordinary; the spans already taken and UUIDs are cut out of the runs."""
+    out, taken = [], sorted(taken + [(*m.span(), "uuid") for m in UUID.finditer(text)])
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % settings.min_chars, text):
         pieces, at = [], m.start()
-        for start, end, _ in sorted(taken):
+        for start, end, _ in taken:
             if start < m.end() and m.start() < end:
                 pieces.append((at, start))
                 at = max(at, end)
@@ -180,7 +211,8 @@ def scanner(ratios: np.ndarray, settings: Settings):
 def secrets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans; one pass without a shuffle after the fit.
 
-    Null texts count as empty; every row, repeated or not, has its own result; an empty table gives no rows.
+    Null and empty texts have no spans; every row, repeated or not, with whatever id, has its own result; very long texts are scanned whole.
+    Spans that start at one place (ties) are listed by kind. Other columns aren't looked at. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ratios = fit(rows, settings)

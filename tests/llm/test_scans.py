@@ -209,3 +209,76 @@ def test_math_and_objects_are_text():
 )
 def test_short_lines_beside_a_surge(html, first, last):
     assert pages.main_text(html % STORY) == first + STORY_TEXT + last
+
+
+#: Identifiers written for this test, which no model has seen: names of classes, constants, packages, versions and paths.
+HELD_OUT = """
+MAX_CONNECTION_TIMEOUT_MS XMLHttpRequestUpload user_profile_v2_backup_2024 x86_64-linux-gnu-gcc-12 HTTP2_MAX_FRAME_SIZE_16K 123e4567-e89b-12d3-a456-426614174000
+org/apache/commons/lang3/StringUtils getElementsByClassName AbstractSingletonProxyFactoryBean DEFAULT_BUFFER_SIZE_4096 com/example/service/impl/UserServiceImplTest
+libstdc++6-dev-i386-cross node_modules/react-dom/cjs/react-dom IllegalArgumentException kubernetes-dashboard-6f8d android-sdk-platform-tools ISO8601DateFormatter
+test_should_raise_value_error_when_empty backup-2023-11-05-full.tar /usr/local/share/man/man1 ECONNREFUSED_RETRY_LIMIT convertToBase64UrlEncoded python3-setuptools-59
+TensorFlowLiteGpuDelegateV2 SQLITE_OPEN_READWRITE CVE-2021-44228-log4shell utf8mb4_unicode_520_ci sha256WithRSAEncryption ubuntu-22-04-jammy-amd64-server GL_COLOR_ATTACHMENT0_EXT
+NSMutableAttributedString java_lang_reflect_Method WM_LBUTTONDBLCLK_HANDLER pthread_mutex_timedlock __attribute__packed_struct window-addEventListener-resize RuntimeError_in_worker_17
+eu-central-1-production-cluster firstNameLastNameEmail wp-content/uploads/2019/08 jquery-ui-1-12-1-custom application/vnd-openxmlformats feature/JIRA-1234-fix-login-page
+""".split()
+
+
+def test_models_leave_real_identifiers_alone(spark):
+    """Names from another source than the labelled samples; random strings of every alphabet are still found."""
+    settings = secrets.Settings()
+    ratios = secrets.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), settings)
+    hit = lambda x: bool(secrets.random_spans(f"see {x} here", ratios, settings, []))
+    wrong = [x for x in HELD_OUT if hit(x)]
+    assert len(wrong) <= 0.05 * len(HELD_OUT), wrong
+    draw = random.Random(17)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits):
+        assert sum(hit("".join(draw.choices(alphabet, k=draw.randint(20, 44)))) for _ in range(300)) >= 290
+
+
+def edited(notice, draw, errors):
+    chars = list(notice)
+    for _ in range(errors):
+        at = draw.randrange(1, len(chars) - 1)
+        kind = draw.randrange(3)
+        if kind == 0:
+            chars.insert(at, draw.choice("abcdefgh "))
+        elif kind == 1:
+            del chars[at]
+        else:
+            chars[at] = draw.choice("abcdefgh")
+    return " ".join("".join(chars).split())
+
+
+def test_seeds_against_the_whole_pattern():
+    """Wherever a notice with at most its bound of insertions, deletions and substitutions stands, search() finds it, repeated pieces or not."""
+    notices = {"free to use and free to use and free to share": "free", "aa bb aa bb aa bb aa bb aa bb": "ab", "ask us before you copy this page": "ask"}
+    search, draw = licenses.Searcher(licenses.Settings(), notices), random.Random(2)
+    for k, (notice, label) in enumerate(notices.items()):
+        pattern, length, errors = search.fuzzy[k]
+        for _ in range(150):
+            text = edited(notice, draw, draw.randint(0, errors))
+            line = " " + " ".join([draw.choice(["", "aa bb", "free to", "x y z"]), text, draw.choice(["", "use and free", "bb aa", "page"])]).strip() + " "
+            whole = [m.span() for m in licenses.matches(pattern, line, 0, len(line))]
+            assert whole, line
+            found = [x for x in search.search(line) if x[2] == label]
+            assert all(any(x[0] < end and start < x[1] for x in found) for start, end in whole), (line, whole, found)
+            assert min(x[3] for x in found) == min(sum(m.fuzzy_counts) for m in licenses.matches(pattern, line, 0, len(line)))
+
+
+def test_notices_from_a_table(spark, docs_of):
+    notices = spark.createDataFrame([("Do NOT copy -- this text!", "no-copy"), (None, "x"), ("", "y"), ("Share freely, with credit to us", "share")], "notice string, label string")
+    docs = docs_of([(1, "please do not copy this text"), (2, "Share frely with credit to us"), (3, "all rights reserved"), (4, None)])
+    found = by_id(licenses.licenses(docs, notices=notices))
+    assert [found[k]["labels"] for k in (1, 2, 3, 4)] == ["no-copy", "share", "reserved", ""]
+    assert [found[k]["spans"] for k in (1, 2, 3, 4)] == ["no-copy:1:6:0", "share:0:6:1", "", ""]
+
+
+def test_odd_rows_by_value(docs_of):
+    """Every row has the result of its own text, whatever its id."""
+    docs = docs_of([*ODD, (8, "password=hunter22 all rights reserved " * 3000)])
+    for scan, text_of in ((secrets.secrets, lambda t: secrets.written(secrets.base_spans(t or ""))), (licenses.licenses, lambda t: len(licenses.word_list(t)))):
+        rows = scan(docs).collect()
+        column = "base_sha256" if scan is secrets.secrets else "n_words"
+        shown = lambda t: hashlib.sha256(text_of(t).encode()).hexdigest() if scan is secrets.secrets else text_of(t)
+        want = sorted(((r[0] is None, r[0], shown(r[1])) for r in [*ODD, (8, "password=hunter22 all rights reserved " * 3000)]), key=repr)
+        assert sorted(((r["doc_id"] is None, r["doc_id"], r[column]) for r in rows), key=repr) == want
