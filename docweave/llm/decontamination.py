@@ -2,7 +2,8 @@
 
 The index holds a posting (term, document, position) for every training token that is a benchmark term. Each benchmark
 window starts from the postings of its rarest term; a posting, less the term's offset in the window, is a candidate start,
-and the lists of the other terms, adjusted by their offsets, must have an entry there (exact phrase) or near it (proximity).
+and the lists of the other terms, adjusted by their offsets, must have an entry there (exact phrase) or near it (proximity). Terms have
+numbers, so postings hold no text.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 from docweave.llm.shared import ALNUM_WORD, ascii_lower, row_key, stored, tidy
 
 WINDOW = 10
-#: A table is broadcast only after its rows were counted: at most so many, of bounded width. Beyond it, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after its rows and the bytes of its texts were counted: at most so many. Beyond it, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Words that a term may stand off its place in a proximity match.
 SLOP = 3
+#: The words of a text before A-Z are lower-cased, which doesn't change their number.
+_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -24,9 +27,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if it has few rows, which are counted by the caller; else left to a shuffle join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, text_bytes: int = 0) -> DataFrame:
+    """df to be broadcast if the caller has counted few rows (of numbers, and of texts with few bytes); else left to a shuffle join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and text_bytes <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(items: DataFrame, width: int = WINDOW, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -37,34 +40,47 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, item_id: str = "ite
     rows = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - (width - 1)))
     cut = rows.select("item", F.explode(F.transform(starts, lambda i: F.slice("_w", i, width))).alias("terms"))
-    owners = stored(cut.withColumn("win", F.sha2(F.array_join("terms", " "), 256)).distinct(), "benchmark-windows")
-    return owners.dropDuplicates(["win"]).select("win", "terms"), owners.select("win", "item")
+    owners = stored(cut.withColumn("_sha", F.sha2(F.array_join("terms", " "), 256)).distinct(), "benchmark-owners")
+    windows = stored(owners.dropDuplicates(["_sha"]).select("_sha", "terms").withColumn("win", F.monotonically_increasing_id()), "benchmark-windows")
+    return windows.select("win", "terms"), owners.join(windows.select("_sha", "win"), "_sha").select("win", "item")
 
 
-def positional_index(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (term, doc_id, _key, pos) of the vocabulary's terms, stored in the shared folder.
+class Vocabulary:
+    """The terms of all windows, each with a number of its own (term_id), stored; and their rows and bytes."""
 
-    vocabulary has the column ``term`` and is broadcast if it is small; nothing of the documents is shuffled then.
-    """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.posexplode(words(F.col(text))).alias("pos", "word"))
-    n = vocabulary.count()
-    ids = stored(vocabulary.select("term", F.xxhash64("term").alias("_id")), "benchmark-terms")
-    return stored(tokens.join(_small(ids, n), F.col("word") == F.col("term")).select("term", "doc_id", "_key", "pos"), "positional-index")
+    def __init__(self, windows: DataFrame) -> None:
+        terms = windows.select(F.explode("terms").alias("term")).distinct()
+        self.table = stored(terms.withColumn("term_id", F.monotonically_increasing_id()), "benchmark-terms")
+        self.rows, self.bytes = (x or 0 for x in self.table.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first())
+
+    def join_to(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows whose column is a term, with its term_id; only this table travels, if it is small."""
+        return rows.join(_small(self.table, self.rows, self.bytes), F.col(column) == F.col("term")).drop("term", column)
+
+
+def _tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.posexplode(words(F.col(text))).alias("pos", "word"))
 
 
-def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
-    """Occurrences of windows: doc_id, _key, win, start, n (words), exact (every term in place).
+def positional_index(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings (term_id, doc_id, _key, pos) of the vocabulary's terms, stored in the shared folder."""
+    return stored(vocabulary.join_to(_tokens(docs, doc_id, text), "word").select("term_id", "doc_id", "_key", "pos"), "positional-index")
 
-    Without exact, every term stands within ``slop`` words of its place. Windows with a term that no document has are left
+
+def matches(docs: DataFrame, index: DataFrame, windows: DataFrame, vocabulary: Vocabulary, slop: int = SLOP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Occurrences of windows (win, terms): doc_id, _key, win, start, n (words), exact (every term in place).
+
+    Without exact, every term but the rarest stands within ``slop`` words of its place. Windows with a term that no document has are left
     out first. Each other one starts from the postings of its rarest term, which are intersected with those of its
-    second rarest; only the few starts that remain meet the lists of the other terms.
+    second rarest; only the few starts that remain meet all words of their documents.
     """
-    terms = stored(windows.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "term")), "window-terms")
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    place = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term")
-    ranked = terms.join(counts, "term", "left").groupBy("win", "n").agg(F.array_sort(F.collect_list(place)).alias("by_df"))  # at most n terms each
+    counts = index.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))  # a row for each term
+    terms = vocabulary.join_to(windows.select("win", F.size("terms").alias("n"), F.posexplode("terms").alias("off", "word")), "word")
+    terms = stored(terms.join(_small(counts, vocabulary.rows), "term_id", "left"), "window-terms")
+    place = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "off", "term_id")
+    ranked = terms.groupBy("win", "n").agg(F.array_sort(F.collect_list(place)).alias("by_df"))  # at most n terms each
     first, second = F.get("by_df", F.lit(0)), F.get("by_df", F.least(F.size("by_df") - 1, F.lit(1)))
-    leads = stored(ranked.where(first["df"] > 0).select("win", "n", first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2")), "leads")
+    leads = stored(ranked.where(first["df"] > 0).select("win", "n", first["term_id"].alias("term_id"), first["off"].alias("off"), second["term_id"].alias("term2"), second["off"].alias("off2")), "leads")
     n_leads = leads.count()
     width = 2 * slop + 1
 
@@ -74,18 +90,20 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame
         return rows.withColumn("cell", F.explode(cells))
 
     def met(rows: DataFrame, postings: DataFrame) -> DataFrame:
-        """Rows (term, doc_id, _key, at, cell, ...) with the postings of the term within slop of at."""
-        p = postings.select(F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "pos", F.floor(F.col("pos") / width).alias("_cell"))
-        same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("term") == F.col("_term")) & (F.col("cell") == F.col("_cell"))
+        """Rows (term_id, doc_id, _key, at, cell, ...) with the postings of the term within slop of at."""
+        p = postings.select(F.col("term_id").alias("_term"), F.col("doc_id").alias("_doc"), F.col("_key").alias("_k"), "pos", F.floor(F.col("pos") / width).alias("_cell"))
+        same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("term_id") == F.col("_term")) & (F.col("cell") == F.col("_cell"))
         return rows.join(p, same).where(F.abs(F.col("pos") - F.col("at")) <= slop)
 
-    starts = index.join(_small(leads, n_leads), "term").select("doc_id", "_key", "win", "n", F.col("term2").alias("term"), "off2", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)
-    seconds = index.join(_small(leads.select(F.col("term2").alias("term")).distinct(), n_leads), "term", "left_semi")
+    starts = index.join(_small(leads, n_leads), "term_id").select("doc_id", "_key", "win", "n", F.col("term2").alias("term_id"), "off2", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)
+    seconds = index.join(_small(leads.select(F.col("term2").alias("term_id")).distinct(), n_leads), "term_id", "left_semi")
     both = met(expected(starts.withColumn("at", F.col("start") + F.col("off2"))), seconds)
     starts = stored(both.select("doc_id", "_key", "win", "n", "start").distinct(), "starts")
-    seen = stored(starts.select("doc_id", "_key").distinct(), "candidate-documents")
-    near = index.join(_small(seen, seen.count()), [index["doc_id"].eqNullSafe(seen["doc_id"]), index["_key"] == seen["_key"]], "left_semi")
-    places = starts.join(_small(terms.select("win", "off", "term"), n_leads * WINDOW), "win").withColumn("at", F.col("start") + F.col("off"))
+    # The words of the documents with starts come from their texts, which are less than the postings of all documents.
+    seen = stored(starts.select(F.col("doc_id").alias("_seen"), F.col("_key").alias("_seen_key")).distinct(), "candidate-documents")
+    of = docs.join(_small(seen, seen.count()), F.col(doc_id).eqNullSafe(F.col("_seen")) & (row_key(F.col(doc_id), F.col(text)) == F.col("_seen_key")), "left_semi")
+    near = vocabulary.join_to(_tokens(of, doc_id, text), "word")
+    places = starts.join(_small(terms.select("win", "off", "term_id"), n_leads * WINDOW), "win").withColumn("at", F.col("start") + F.col("off"))
     found = met(expected(places), near)
     each = found.groupBy("doc_id", "_key", "win", "n", "start", "off").agg(F.max((F.col("pos") == F.col("at")).cast("int")).alias("here"))
     whole = each.groupBy("doc_id", "_key", "win", "n", "start").agg(F.count(F.lit(1)).alias("got"), F.sum("here").alias("here"))
@@ -96,13 +114,15 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document row: doc_id, _key, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
-    n_near counts windows that occur within ``slop`` words of order but not exactly. Null texts have no words; repeated rows
-    have equal results; an empty benchmark hits nothing.
+    n_near counts proximity matches: starts at which a window's rarest term (the first of equally rare ones) stands in place and every
+    other term within ``slop`` words of its place, but not all in place. Null and empty texts have no words; very long texts are indexed whole;
+    repeated rows have equal results, and ids may be null; items with one text share their windows, and all of them are named; other
+    columns aren't looked at. An empty benchmark hits nothing, and an empty table of documents gives no rows.
     """
     windows, owners = benchmark_windows(items, width)
-    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
+    vocabulary = Vocabulary(windows)
     index = positional_index(docs, vocabulary, doc_id, text)
-    found = stored(matches(index, windows, slop).distinct(), "matches")
+    found = stored(matches(docs, index, windows, vocabulary, slop, doc_id, text).distinct(), "matches")
     exact = found.where("exact")
     keys = ["doc_id", "_key"]
     hit = exact.select(*keys, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
@@ -110,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     near = found.where("not exact").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_near"))
     both = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
     result = stored(_outer(_outer(hit, of, keys), near, keys), "hits")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(_ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(result, both(rows, result), "left").select(
         rows["doc_id"],
         rows["_key"],
@@ -140,7 +160,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, items).drop("_key", "n_near")
+    return contamination(docs, items).drop("_key")
 
 
 OP8_SQL = r"""
@@ -156,8 +176,20 @@ grams AS (
 ),
 found AS (SELECT doc_id, grams.n, i, item_id FROM grams JOIN win ON grams.n = win.n AND grams.x = win.x),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+toks AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM dw),
+freq AS (SELECT term, count(*) AS df FROM toks GROUP BY term),
+offs AS (SELECT x, n, unnest(x) AS term, unnest(range(0, n)) AS off FROM (SELECT DISTINCT n, x FROM win)),
+lead AS (SELECT x, n, off, term FROM (
+  SELECT x, n, off, offs.term, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY x ORDER BY coalesce(df, 0), off) AS r FROM offs LEFT JOIN freq ON offs.term = freq.term
+) WHERE r = 1 AND df > 0),
+begun AS (SELECT toks.doc_id, x, n, pos - off AS s FROM toks JOIN lead ON toks.term = lead.term WHERE pos - off >= -3),
+close AS (
+  SELECT doc_id, count(*) AS n_near FROM (SELECT begun.*, w FROM begun JOIN dw ON begun.doc_id IS NOT DISTINCT FROM dw.doc_id)
+  WHERE len(list_filter(range(0, n), lambda o: NOT list_contains(w[greatest(1, s + o - 2):s + o + 4], x[o + 1]))) = 0 AND NOT (s >= 0 AND w[s + 1:s + n] = x)
+  GROUP BY doc_id
+),
 of AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN of USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN of USING (doc_id) LEFT JOIN close USING (doc_id)
 """

@@ -169,3 +169,48 @@ def test_written_shards(spark, docs_of, tmp_path):
     for r in back.collect():
         shards[r["text"] or ""].add(r["out_shard"])
     assert all(len(x) == 1 for x in shards.values())
+
+
+def near_starts(texts, items, slop=3):
+    """Proximity matches by plain search over all windows and places."""
+    tokens = [windows(t)[0] for t in texts]
+    df = Counter(w for t in tokens for w in t)
+    out = [0] * len(texts)
+    for x in {w for t in items for w in windows(t)[1]}:
+        _, off = min((df[w], o) for o, w in enumerate(x))
+        for i, t in enumerate(tokens):
+            for at, w in enumerate(t):
+                start = at - off
+                if w == x[off] and start >= -slop:
+                    all_near = all(any(0 <= p < len(t) and t[p] == y for p in range(start + o - slop, start + o + slop + 1)) for o, y in enumerate(x))
+                    out[i] += all_near and not (start >= 0 and tuple(t[start : start + len(x)]) == x)
+    return out
+
+
+def test_proximity_matches(spark, docs_of):
+    import random
+
+    import duckdb
+
+    draw = random.Random(6)
+    vocabulary = "a b c dd ee ff gg hh ii jj kk ll".split()
+    items = [" ".join(draw.choices(vocabulary, k=k)) for k in (3, 10, 12, 5, 11)] + ["", None]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randint(0, 60))) for _ in range(40)]
+    for item in items[:5]:
+        for _ in range(6):
+            w = item.split()
+            i = draw.randrange(len(w))
+            w.insert(draw.randrange(len(w)), w.pop(i))
+            texts.append(" ".join([*draw.choices(vocabulary, k=4), *w, *draw.choices(vocabulary, k=4)]))
+        texts.append(f"z {item} z")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = by_id(decontamination.contamination(docs_of(list(enumerate(texts))), table))
+    want = near_starts(texts, items)
+    assert [found[k]["n_near"] for k in range(len(texts))] == want and sum(want) > 20
+    con = duckdb.connect()
+    for name, values, key in (("documents", texts, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", list(enumerate(values)))
+    sql = con.execute(decontamination.OP8_SQL).df().set_index("doc_id")
+    assert [int(sql.n_near[k]) for k in range(len(texts))] == want
+    assert [(int(sql.n_hit[k]), sql.items_sha256[k]) for k in range(len(texts))] == [(found[k]["n_hit"], found[k]["items_sha256"]) for k in range(len(texts))]
