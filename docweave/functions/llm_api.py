@@ -43,6 +43,12 @@ def error(body: Column) -> Column:
     )
 
 
+def without_content(body: Column) -> Column:
+    """The same fields for a good answer that has no content."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("empty").alias("kind"), F.concat(F.lit("answer without content: "), F.left(body, F.lit(500))).alias("message"), none.alias("type"), none.alias("code"))
+
+
 def positive_int(value: Column, default: int) -> Column:
     """A setting read as text: its integer if positive, else the default."""
     number = value.try_cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import llm_api, paths
 from docweave.functions.text import WHITE, bound, escape_html, filled_lines, lines, mask, preview, splitlines, tokens
-from docweave.jobs.convert import convert, summary
+from docweave.jobs.convert import convert, convert_by_rows, summary
 from docweave.operators.label import LABELERS, blocks, labelled, markdown, mod, rejected, rule
 from docweave.operators.merge import merged, search_depth, shared_lines
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks, hard_split, paragraphs, sentences
@@ -389,6 +389,22 @@ def pipeline_chunked(spark, sf_dir):
     return convert(documents(spark, sf_dir), max_tokens=SMALL[0], overlap=SMALL[1]).select("doc_id", "markdown", "error_stage")
 
 
+@query(
+    "pipeline_by_rows",
+    _CONVERTED + """, failing AS (SELECT DISTINCT doc_id FROM chunks WHERE chunk_ix % 7 = 6)
+SELECT c.doc_id, CASE WHEN f.doc_id IS NULL THEN markdown END AS markdown, CASE WHEN f.doc_id IS NULL THEN error_stage ELSE 'label' END AS error_stage
+FROM converted c LEFT JOIN failing f ON c.doc_id = f.doc_id""",
+)
+def pipeline_by_rows(spark, sf_dir):
+    """The conversion as with a service: chunks as rows, labelled in any order, one failed chunk (every seventh here) fails its document."""
+
+    def label(rows: DataFrame) -> DataFrame:
+        good = F.col("chunk_ix") % 7 != 6
+        return rows.repartition(F.xxhash64("chunk")).select("doc_id", "chunk_ix", F.when(good, labelled(F.col("chunk"), rule)).alias("labelled"), F.when(~good, F.lit("refused")).alias("error"))
+
+    return convert_by_rows(documents(spark, sf_dir), label, max_tokens=SMALL[0], overlap=SMALL[1]).select("doc_id", "markdown", "error_stage")
+
+
 @query("order_restore", _SMALL + "SELECT doc_id, array_to_string(a, '') AS joined FROM packed WHERE len(a) > 0")
 def order_restore(spark, sf_dir):
     """Chunks come back in any order and are sorted by their number."""

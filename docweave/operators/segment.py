@@ -30,9 +30,18 @@ def widths(max_tokens: int, overlap: int) -> tuple[int, int]:
 
 
 def hard_split(text: Column, max_tokens: int, overlap: int) -> Column:
-    """Windows of full width, each beginning before the end of the last; a blank window is left out and shifts what follows."""
+    """Windows of full width, each beginning before the end of the last; a blank window is left out and shifts what follows.
+
+    Without a blank window, each is made of blocks of one step, which are cut in one pass over the text. Only a text with a blank
+    window takes the fold from window to window, which looks for every place from the start of the text.
+    """
     width, shared = widths(max_tokens, overlap)
     step = width - shared
+    whole = -(-width // step)  # blocks that a window needs
+
+    def windows(blocks: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.length(text) - width) / F.lit(step)).cast("int") + 1)
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.left(F.array_join(F.slice(blocks, i, F.lit(whole)), ""), F.lit(width)))
 
     def next_window(acc: Column, _: Column) -> Column:
         at = acc["at"]
@@ -45,7 +54,9 @@ def hard_split(text: Column, max_tokens: int, overlap: int) -> Column:
 
     start = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit(0).alias("at"))
     turns = F.sequence(F.lit(0), F.ceil(F.length(text) / F.lit(step)).cast("int"))
-    return F.when(blank(text), F.array().cast(_STRINGS)).otherwise(F.aggregate(turns, start, next_window, lambda acc: acc["out"]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    folded = F.aggregate(turns, start, next_window, lambda acc: acc["out"])
+    return F.when(blank(text), F.array().cast(_STRINGS)).otherwise(bound(bound(blocks, windows), lambda w: F.when(F.exists(w, blank), folded).otherwise(w)))
 
 
 def segments(text: Column, max_tokens: int = MAX_TOKENS) -> Column:

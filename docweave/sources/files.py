@@ -6,6 +6,7 @@ Files are scanned with Spark's binaryFile source, so type and size filters act o
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -30,15 +31,21 @@ def scan(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int
     return reader.load(path).where(F.col("length") <= max_bytes).select("path", "length", "content", file_type(F.col("path")).alias("file_type"))
 
 
-def docx_paragraphs(content: bytes) -> list[str] | None:
-    """Texts of the body's own paragraphs, empty ones too; None if the file is no readable DOCX. Tables and headers are not visited."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, EOFError, OSError):
-        return None
+def rejects(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, file_type, error_stage, error) of the files that scan() leaves out: unsupported types, and files above max_bytes. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    listed = found.select("path", "length", file_type(F.col("path")).alias("file_type"))
+    stage = F.when(F.col("file_type") == "unsupported", "type").when(F.col("length") > max_bytes, "size")
+    reason = F.when(F.col("error_stage") == "type", F.lit("unsupported file type")).otherwise(F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {max_bytes}")))
+    return listed.withColumn("error_stage", stage).where("error_stage is not null").select("path", "file_type", "error_stage", reason.alias("error"))
+
+
+def read_paragraphs(content: bytes) -> list[str]:
+    """Texts of the body's own paragraphs, empty ones too. Tables and headers are not visited. Files that are no DOCX raise errors of many kinds."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     if body is None:
-        return None
+        raise ValueError("a DOCX without a body")
     signs = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
 
     def text(paragraph) -> str:
@@ -51,41 +58,59 @@ def docx_paragraphs(content: bytes) -> list[str] | None:
 PdfReader = Callable[[bytes], "list[str] | None"]
 
 
-def extracted(found: DataFrame, pdf_pages: PdfReader | None = None) -> DataFrame:
+def file_parts(kind: str, content: bytes, pdf_pages: PdfReader | None) -> tuple[list[str] | None, str | None]:
+    """(parts, None), or (None, reason) for whatever a reader raises: one bad file is one bad row. Only a library that isn't there is an error."""
+    try:
+        if kind == "docx":
+            return read_paragraphs(content), None
+        if pdf_pages is None:
+            return None, "no PDF reader was given"
+        pages = pdf_pages(content)
+        return (None, "unreadable PDF") if pages is None else ([p for p in pages if p], None)
+    except ImportError:
+        raise
+    except Exception as e:  # noqa: BLE001 - damaged files raise errors of every kind
+        return None, f"{type(e).__name__}: {e}"[:500]
+
+
+def extracted(found: DataFrame, pdf_pages: PdfReader | None = None, isolate: bool = False) -> DataFrame:
     """scan() rows with raw_text in place of content; null where a file can't be read.
 
     Paragraphs and pages are joined by one line feed. A blank DOCX gives the empty string, a blank PDF null. Reading PDF
-    needs a function from bytes to page texts; without one, a PDF raises an error instead of passing for an empty file.
+    needs a function from bytes to page texts; without one, a PDF raises an error instead of passing for an empty file. With isolate,
+    it is a row with a null text like every file that can't be read, and the column error gives the reason.
     """
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for kind, content in zip(batch["file_type"], batch["content"]):
-                if kind == "docx":
-                    out.append(docx_paragraphs(bytes(content)))
-                elif pdf_pages is None:
-                    raise NotImplementedError("PDF files need a pdf_pages function")
-                else:
-                    pages = pdf_pages(bytes(content))
-                    out.append([p for p in pages if p] if pages is not None else None)
-            yield pd.DataFrame({"path": batch["path"], "file_type": batch["file_type"], "parts": out})
-
-    rows = found.select("path", "file_type", "content").mapInPandas(parts, "path string, file_type string, parts array<string>")
+            if not isolate and pdf_pages is None and (batch["file_type"] != "docx").any():
+                raise NotImplementedError("PDF files need a pdf_pages function")
+            out = [file_parts(kind, bytes(content), pdf_pages) for kind, content in zip(batch["file_type"], batch["content"])]
+            yield pd.DataFrame({"path": batch["path"], "file_type": batch["file_type"], "parts": [x[0] for x in out], "error": [x[1] for x in out]})
+
+    rows = found.select("path", "file_type", "content").mapInPandas(parts, "path string, file_type string, parts array<string>, error string")
     text = F.array_join("parts", "\n")
-    return rows.select("path", "file_type", F.when((F.col("file_type") == "docx") | ~blank(text), text).alias("raw_text"))
+    raw = F.when((F.col("file_type") == "docx") | ~blank(text), text)
+    error = F.coalesce("error", F.when(raw.isNull(), "no text"))
+    return rows.select("path", "file_type", raw.alias("raw_text"), *([error.alias("error")] if isolate else []))
 
 
 def named_results(results: DataFrame) -> DataFrame:
-    """(path, out_path, markdown) of the documents that succeeded; of several inputs with one output name, the first path wins and the others are marked."""
+    """(path, out_path, markdown) of the documents that succeeded; of several inputs with one output name, the first path wins and the others are marked.
+
+    Names decide without the texts. Only the paths that lose, as a rule few, come back to the rows.
+    """
     rows = results.where(F.col("markdown").isNotNull()).select("path", result_name(F.col("path")).alias("out_path"), "markdown")
-    return rows.withColumn("collides", F.row_number().over(Window.partitionBy("out_path").orderBy("path")) > 1)
+    names = rows.select("path", "out_path").distinct()
+    later = names.withColumn("_place", F.row_number().over(Window.partitionBy("out_path").orderBy("path"))).where("_place > 1").select(F.col("path").alias("_path"))
+    return rows.join(later, F.col("path") == F.col("_path"), "left").withColumn("collides", F.col("_path").isNotNull()).drop("_path")
 
 
 def write_markdown(results: DataFrame, folder: str) -> DataFrame:
     """Write one UTF-8 file per row of named_results() that doesn't collide, overwriting; returns the paths written.
 
-    Each file is complete or absent: writing again after a lost task gives the same file.
+    A file is written under another name and moved, so where the store moves at once (local disks, HDFS) it is complete or absent.
+    Writing again after a lost task gives the same file.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,8 +118,10 @@ def write_markdown(results: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             store.create_dir(base, recursive=True)
             for name, text in zip(batch["out_path"], batch["markdown"]):
-                with store.open_output_stream(f"{base}/{name}") as out:
+                part = f"{base}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write(text.encode())
+                store.move(part, f"{base}/{name}")
             yield batch[["out_path"]]
 
     return results.where(~F.col("collides")).select("out_path", "markdown").mapInPandas(write, "out_path string")

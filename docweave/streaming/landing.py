@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docweave.functions.paths import file_type
 from docweave.jobs.convert import convert
-from docweave.sources.files import GLOB, MAX_BYTES, extracted
+from docweave.sources.files import GLOB, MAX_BYTES, PdfReader, extracted
 
 
 def arriving(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -17,7 +17,10 @@ def arriving(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFra
     return stream.where(F.col("length") <= MAX_BYTES).select("path", "content", file_type(F.col("path")).alias("file_type"))
 
 
-def convert_arriving(spark: SparkSession, folder: str, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Append (path, markdown, error_stage) of each new file to Parquet at out; the checkpoint makes that exactly once."""
-    rows = convert(extracted(arriving(spark, folder)), text="raw_text", **options).select("path", "markdown", "error_stage")
+def convert_arriving(spark: SparkSession, folder: str, out: str, checkpoint: str, pdf_pages: PdfReader | None = None, **options) -> StreamingQuery:
+    """Append (path, markdown, error_stage, error) of each new file to Parquet at out; the checkpoint makes that exactly once.
+
+    Files that can't be read, PDFs without a reader among them, are rows with a null Markdown and the reason; the stream goes on.
+    """
+    rows = convert(extracted(arriving(spark, folder), pdf_pages, isolate=True), text="raw_text", **options).select("path", "markdown", "error_stage", "error")
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
