@@ -164,7 +164,7 @@ def test_time_grows_with_the_length(spark):
         rows.collect()
         return time.time() - began
 
-    for column, text in ((hard_split(F.col("text"), 100, 10), "word " * 40_000), (merged(F.split("text", "(?<=5)"), 20), "P: line 5 of it.\n" * 12_500)):
+    for column, text in ((hard_split(F.col("text"), 100, 10), "word " * 40_000), (merged(F.split("text", "(?<=5)"), 20), ("P: a line of it.\n" * 40 + "P: 5\n") * 100)):
         seconds(column, text)  # compiled
         small, large = seconds(column, text), seconds(column, text * 10)
         assert large < 25 * small + 2
