@@ -90,7 +90,8 @@ def with_copies(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, **shares) -> DataFrame:
     """Every document as often as its source's rate asks for; the columns stay those of docs.
 
-    Null texts have no words. A document whose source has rate 0 is not emitted. Repeated rows are each emitted by the same draw.
+    Null and empty texts have no words, very long ones are counted whole. A document whose source has rate 0 is not emitted. Repeated rows
+    (and all rows of null ids) are each emitted by the same draw. An empty table gives no rows.
     """
     targets = source_targets(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), **shares)
     of = targets.select(F.col("source").alias("__mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__mix_rate"))

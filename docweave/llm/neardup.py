@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 
     Ids are taken to be unique; repeated rows are copies of one document and all of them carry its result. Documents without words
     (null texts too) link with nothing. A document with a null id keeps its own row, joins the component of its equal set, if
-    any, and is kept where there is none. An empty table gives no rows.
+    any, and is kept where there is none. Very long texts are hashed whole. Other columns aren't looked at. An empty table gives no rows.
     """
     run = NearDuplicates(docs, settings, doc_id, text)
     named = run.nodes.select("set_id", "node").join(run.labels(), "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"))
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 
 @tidy
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of docs for each component: that with the smallest id."""
+    """The document with the smallest id of each component. Rows that repeat that id are one document and all stay; so do those of null ids without a component."""
     keep = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("__neardup_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__neardup_id")), "left_semi")
 

@@ -148,7 +148,8 @@ def quality(docs: DataFrame, limits: Limits = Limits(), **columns: str) -> DataF
     """Verdict per document: base counts, base_failed, char_distance, word_distance, kept.
 
     Null texts have no words and fail the base rules. Null or unknown languages form a language of their own, without common
-    words. Repeated rows are judged alike; an empty table gives no rows.
+    words. Repeated rows and ties are judged alike, whatever their ids; very long texts are judged whole; columns besides those
+    named aren't looked at. An empty table gives no rows.
     """
     return judged(stored(measured(docs, **columns), "measured"), limits)
 

@@ -16,9 +16,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest doc_id, and one of the rows that repeat it.
+    """The document with the smallest doc_id of each group of near duplicates. Rows that repeat that doc_id are one document and all stay.
 
-    Texts without words (null ones too) link with nothing and stay, each row but for exact repeats. An empty table gives no rows.
+    Texts without words (null ones too) link with nothing and stay. An empty table gives no rows.
     """
     return neardup.one_of_each(docs)
 

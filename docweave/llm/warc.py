@@ -192,7 +192,8 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Write all pages as WARC records, read all records back, and report each page's payload and record type.
 
     A revisit takes the size of its payload from the response that it refers to. Null html is an empty payload; pages of one
-    null or repeated page_id have a record each.
+    null or repeated page_id have a record each, with the same WARC-Record-ID. Of equal payloads (ties), the largest page_id is the response; rows that
+    repeat it are responses too, and null ids are the least. Very long payloads are one record. Other columns aren't looked at; an empty table gives no rows.
     """
     folder = new_path(spark, "warc")
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
