@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.components import components
-from docweave.llm.shared import stored, tidy
+from docweave.llm.shared import row_key, stored, tidy
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def minhash(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def signer(settings: Settings):
-    """Batches of (doc_id, text) to set sizes, set fingerprints and signatures."""
+    """Batches of (doc_id, text, key) to set sizes, set fingerprints and signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +98,7 @@ def signer(settings: Settings):
                 sizes.append(len(h))
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sigs.append(minhash(h, settings.bands * settings.rows, settings.seed).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "n_shingles", "set_id", "sig"])
 
     return sign
 
@@ -204,7 +204,8 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, settings: Settings, doc_id: str, text: str) -> None:
         self.settings, self.spark = settings, docs.sparkSession
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        signed = self.docs.mapInArrow(signer(settings), "doc_id long, n_shingles long, set_id binary, sig binary")
+        keyed = self.docs.withColumn("key", row_key("doc_id", "text"))
+        signed = keyed.mapInArrow(signer(settings), "doc_id long, key long, n_shingles long, set_id binary, sig binary")
         self.signed = stored(signed, "signed")
         # Equal sets are one node, named by their smallest id.
         self.nodes = stored(
@@ -278,6 +279,15 @@ class NearDuplicates:
         return components(links.union(self.verified(more)))
 
 
+def _judged(docs: DataFrame, settings: Settings, doc_id: str, text: str) -> DataFrame:
+    """Per document: doc_id, key (of id and text), n_shingles, component_id, kept."""
+    run = NearDuplicates(docs, settings, doc_id, text)
+    named = run.nodes.select("set_id", "node").join(run.labels(), "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"))
+    component = F.coalesce("comp", "doc_id")
+    rows = run.signed.select("doc_id", "key", "n_shingles", "set_id").join(named, "set_id", "left")
+    return rows.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
 @tidy
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id that links reach), kept.
@@ -286,17 +296,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     (null texts too) link with nothing. A document with a null id keeps its own row, joins the component of its equal set, if
     any, and is kept where there is none. Very long texts are hashed whole. Other columns aren't looked at. An empty table gives no rows.
     """
-    run = NearDuplicates(docs, settings, doc_id, text)
-    named = run.nodes.select("set_id", "node").join(run.labels(), "node", "left").select("set_id", F.coalesce("comp", "node").alias("comp"))
-    component = F.coalesce("comp", "doc_id")
-    return run.signed.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return _judged(docs, settings, doc_id, text).drop("key")
 
 
 @tidy
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The document with the smallest id of each component. Rows that repeat that id are one document and all stay; so do those of null ids without a component."""
-    keep = near_duplicates(docs, settings).where("kept").select(F.col("doc_id").alias("__neardup_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__neardup_id")), "left_semi")
+    """One row for each component: the document with its smallest id.
+
+    Of rows that repeat this id, one stays (of different texts under one id, one whose text is its own component). Rows of null ids stay where they have no component, once for
+    each text. Documents without words stay, once for each id.
+    """
+    kept = _judged(docs, settings, "doc_id", "text").where("kept")
+    kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("_of")).agg(F.min("key").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    kept = stored(kept.select(F.col("doc_id").alias("__neardup_id"), F.col("_least").alias("__neardup_key"), F.col("_rows").alias("__neardup_rows")), "kept-ids")
+    key = row_key("doc_id", "text")
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__neardup_id")) & (key == F.col("__neardup_key")), "left_semi")
+
+    # Rows travel by id only; those of repeated ids, as a rule few, are then told apart.
+    again = stored(kept.where("__neardup_rows > 1"), "repeated-ids")
+    repeated = rows_of(again).withColumn("__neardup_key", key).dropDuplicates(["doc_id", "__neardup_key"]).drop("__neardup_key")
+    return rows_of(kept.where("__neardup_rows = 1")).unionByName(repeated)
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates. Rows that repeat that doc_id are one document and all stay.
+    """The document with the smallest doc_id of each group of near duplicates. Of rows that repeat that doc_id, one stays.
 
     Texts without words (null ones too) link with nothing and stay. An empty table gives no rows.
     """

@@ -8,7 +8,7 @@ import numpy as np
 
 from docweave.llm import neardup
 from docweave.llm.components import components
-from tests.llm.conftest import ODD, by_id
+from tests.llm.conftest import LONG, ODD, by_id
 
 
 def shingles(text):
@@ -65,6 +65,17 @@ def test_one_of_each_keeps_columns(docs_of):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_one_row_of_each_component(docs_of):
+    """Repeated ids, null ids with and without a component, texts without words."""
+    more = [(2, None), (8, "p q r s t u"), (8, "v w x y z a"), (None, "lone words of no other text"), (None, "lone words of no other text")]
+    kept = [(r["doc_id"], r["text"]) for r in neardup.one_of_each(docs_of([*ODD, *more])).collect()]
+    eight = [t for i, t in kept if i == 8]
+    assert len(eight) == 1 and eight[0] in ("p q r s t u", "v w x y z a")
+    want = [(1, ODD[0][1]), (2, None), (3, ""), (4, ODD[4][1]), (None, None), (5, LONG), (6, ODD[8][1]), (None, more[-1][1])]
+    assert sorted(kept, key=str) == sorted([*want, (8, eight[0])], key=str)
+    assert neardup.one_of_each(docs_of([])).collect() == []
+
+
 def test_bounds_follow_the_posterior():
     least = neardup.least_matches(neardup.Settings())
     assert list(least) == sorted(least) and least[-1] < 96

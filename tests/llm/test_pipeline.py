@@ -1,7 +1,10 @@
 """Each stage on its predecessor's rows."""
 
+from collections import Counter
+
 import corpus_pipeline
 from docweave.llm.shared import new_path
+from tests.llm.conftest import LONG, ODD
 
 
 def test_stages(spark):
@@ -28,3 +31,23 @@ def test_later_calls_leave_earlier_results_alone(spark):
     assert all(x.count() > 0 for x in stages)
     shown = lambda df: sorted(map(repr, df.collect()))
     assert shown(first) == shown(second)
+
+
+def test_odd_rows_by_value(spark, docs_of, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and empty tables, for each stage."""
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, LONG), (2, None), (2, ""), (None, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, none = docs_of(ODD), docs_of([])
+    shown = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    rows, seven = sorted([(r[0], r[1]) for r in ODD], key=repr), ODD[0][1]
+    found = {stage.__name__: stage(spark, docs, folder) for _, stage in corpus_pipeline.STAGES}
+    assert all(df.columns == docs.columns for name, df in found.items() if name != "sharded")
+    assert shown(found["good"]) == [(5, LONG)]
+    assert shown(found["deduplicated"]) == sorted([(1, seven), (2, None), (3, ""), (4, ODD[4][1]), (None, None), (5, LONG), (6, ODD[8][1])], key=repr)
+    assert shown(found["decontaminated"]) == [r for r in rows if r[1] not in (seven, LONG)]
+    mixed = Counter(shown(found["mixed"]))
+    assert set(mixed) <= set(rows) and all(n <= 2 * rows.count(r) for r, n in mixed.items())
+    sharded = found["sharded"].collect()
+    assert len(sharded) == len(ODD) and len({r["shard"] for r in sharded if r["size"] == len(seven) + 1}) == 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).collect() == []
