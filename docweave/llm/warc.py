@@ -53,22 +53,23 @@ def planned(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", base32_of_hex(F.sha1("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = rows.groupBy("digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("digest").alias("_digest"), "_first")
-    revisit = (F.col("payload_bytes") >= settings.min_revisit) & (F.col("_first") != F.col("page_id"))
+    revisit = (F.col("payload_bytes") >= settings.min_revisit) & ~F.col("_first").eqNullSafe(F.col("page_id"))
     return rows.join(first, F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "payload", "digest", "payload_bytes", F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, place: str) -> str:
+    """Of page and payload, so that a revisit can name its response; where there is no page_id, of the place in the archives."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'place:{place}' if page_id is None else f'page:{page_id}:{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, level: int) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, level: int, place: str = "") -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit has no payload; both types name the full payload's digest."""
     kind = "response" if refers_to is None else "revisit"
-    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else page_id)]
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, place)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else page_id)]
     if url is not None:
         headers.append(("WARC-Target-URI", "".join(c for c in url if c not in "\r\n")))
     if refers_to is not None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", refers_to)]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest, "")), ("X-Refers-To-Page-ID", refers_to)]
     body = payload if refers_to is None else b""
     headers += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(body))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n"
@@ -101,7 +102,7 @@ def writer(folder: str, settings: Settings):
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
-                    data = record(*row, settings.level)
+                    data = record(*row, settings.level, f"{name}:{offset}")
                     out.write(data)
                     where.append((offset, len(data)))
                     offset += len(data)
@@ -192,7 +193,7 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Write all pages as WARC records, read all records back, and report each page's payload and record type.
 
     A revisit takes the size of its payload from the response that it refers to. Null html is an empty payload; pages of one
-    null or repeated page_id have a record each, with the same WARC-Record-ID. Of equal payloads (ties), the largest page_id is the response; rows that
+    null or repeated page_id have a record each (with one WARC-Record-ID only where page_id and html are the same). Of equal payloads (ties), the largest page_id is the response; rows that
     repeat it are responses too, and null ids are the least. Very long payloads are one record. Other columns aren't looked at; an empty table gives no rows.
     """
     folder = new_path(spark, "warc")

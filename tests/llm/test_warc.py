@@ -28,3 +28,27 @@ def test_small_payloads_stay_responses(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.write_archives(pages, new_path(spark, "warc"))).collect() == []
+
+
+def test_repeated_and_null_ids_by_value(spark):
+    """(page_id, html): ties, repeated rows, one id with two texts, null ids, empty and very long texts; columns with clashing names."""
+    rows = [(1, "x"), (1, "x"), (1, "y"), (2, "y"), (None, "y"), (None, "z"), (None, "z"), (3, None), (4, ""), (5, "é" * 400_000)]
+    pages = spark.createDataFrame([(i, "u", html, "d", 7) for i, html in rows], "page_id long, url string, html string, digest string, offset int").repartition(2)
+    folder = new_path(spark, "warc")
+    index = warc.write_archives(pages, folder)
+    found = [(r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in warc.read_records(index).collect()]
+    want = [(1, "response", None, "x"), (1, "response", None, "x"), (1, "revisit", 2, None), (2, "response", None, "y"), (None, "revisit", 2, None), (None, "response", None, "z"), (None, "response", None, "z"), (3, "revisit", 4, None), (4, "response", None, ""), (5, "response", None, "é" * 400_000)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_record_ids():
+    """A revisit names the record of its response; other payloads and other places have other ids."""
+    import zlib
+
+    def headers(*row, place=""):
+        return warc.parsed(zlib.decompress(warc.record(*row, 6, place), 31))[0]
+
+    response, revisit = headers(2, "u", b"y", "D", None), headers(1, "u", b"y", "D", 2)
+    assert revisit["warc-refers-to"] == response["warc-record-id"] != revisit["warc-record-id"]
+    ids = [headers(2, "u", b"z", "E", None), headers(None, "u", b"y", "D", None, place="a:0"), headers(None, "u", b"y", "D", None, place="a:9"), response, revisit]
+    assert len({h["warc-record-id"] for h in ids}) == 5
