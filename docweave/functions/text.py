@@ -59,6 +59,14 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+def uri_component(text: Column) -> Column:
+    """Percent-encoding of UTF-8 for one component of a URI: ASCII letters, digits and - _ . ! ~ * ' ( ) stay."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for sign, code in (("!", "%21"), ("'", "%27"), ("(", "%28"), (")", "%29"), ("~", "%7E")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
 def mask(secret: Column) -> Column:
     """All but the last four characters as stars; secrets of up to four characters are masked as a whole."""
     n = F.length(secret)

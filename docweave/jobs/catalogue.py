@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import llm_api, paths
-from docweave.functions.text import WHITE, bound, escape_html, filled_lines, lines, mask, preview, splitlines, tokens
+from docweave.functions.text import WHITE, bound, escape_html, filled_lines, lines, mask, preview, splitlines, tokens, uri_component
 from docweave.jobs.convert import convert, convert_by_rows, summary
+from docweave.jobs.uploads import replies
 from docweave.operators.label import LABELERS, blocks, labelled, markdown, mod, rejected, rule
 from docweave.operators.merge import merged, search_depth, shared_lines
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks, hard_split, paragraphs, sentences
@@ -475,6 +476,27 @@ def upload_records(spark, sf_dir):
     return docs.select("doc_id", F.when(good, "success").otherwise("error").alias("status"), F.when(good, paths.result_name(F.col("path"))).alias("processed_filename"))
 
 
+@query(
+    "upload_replies",
+    f"""WITH m AS (SELECT doc_id, doc_id // 10 AS request, length({_MARKDOWN(_LABELLED('text', 'mod'))}) > 0 AS good FROM documents),
+p AS (SELECT doc_id, request, good, k, CASE WHEN k <> 3 AND request % 7 <> 0 THEN string_split(path, '/')[-1] ELSE '' END AS name FROM ({_PATHS}) JOIN m USING (doc_id)),
+e AS (SELECT doc_id, request, name, '{{"original_filename":"' || name || CASE WHEN k = 2 THEN '","status":"error","message":"file type not allowed"}}' WHEN NOT good THEN '","status":"error","message":"no result"}}'
+ELSE '","status":"success","processed_filename":"' || doc_id || CASE k WHEN 4 THEN '.tar' ELSE '' END || '.md","message":"done"}}' END AS entry FROM p)
+SELECT request, CASE WHEN bool_and(name = '') THEN 400 ELSE 200 END AS status,
+CASE WHEN bool_and(name = '') THEN '{{"error":"no file was chosen"}}' ELSE '[' || string_agg(entry, ',' ORDER BY doc_id) FILTER (WHERE name <> '') || ']' END AS body FROM e GROUP BY request""",
+)
+def upload_replies(spark, sf_dir):
+    """Requests of ten files, some without a name; every seventh request names none."""
+    docs = named(spark, sf_dir).withColumn("request", F.floor(F.col("doc_id") / 10))
+    name = F.when((F.col("doc_id") % 5 != 3) & (F.col("request") % 7 != 0), paths.base_name(F.col("path"))).otherwise("")
+    return replies(docs.select("request", F.col("doc_id").alias("ix"), name.alias("filename"), markdown(labelled(F.col("text"), mod)).alias("markdown")))
+
+
+@query("uri_encoded", "SELECT doc_id, replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS encoded FROM documents")
+def uri_encoded(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", uri_component(F.col("text")).alias("encoded"))
+
+
 @query("mask_key", "SELECT doc_id, CASE WHEN length(source) > 4 THEN repeat('*', length(source) - 4) || right(source, 4) ELSE repeat('*', length(source)) END AS masked FROM documents")
 def mask_key(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", mask(F.col("source")).alias("masked"))
