@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     kept = _judged(docs, settings, "doc_id", "text").where("kept")
     kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("key")).alias("_of")).agg(F.min("key").alias("_least"), F.count(F.lit(1)).alias("_rows"))
     kept = stored(kept.select(F.col("doc_id").alias("__neardup_id"), F.col("_least").alias("__neardup_key"), F.col("_rows").alias("__neardup_rows")), "kept-ids")
-    key = row_key("doc_id", "text")
+    key = row_key(F.col("doc_id").cast("long"), F.col("text"))
 
     def rows_of(ids: DataFrame) -> DataFrame:
         return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__neardup_id")) & (key == F.col("__neardup_key")), "left_semi")
