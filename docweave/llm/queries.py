@@ -2,6 +2,7 @@
 
 from docweave.llm.decontamination import OP8_SQL, op8_decontaminate
 from docweave.llm.licenses import op6_licenses
+from docweave.llm.manifest import OP11_SQL, op11_merkle_manifest
 from docweave.llm.mixing import OP7_SQL, op7_mix_sources
 from docweave.llm.neardup import op1_near_duplicates
 from docweave.llm.pages import op3_main_text
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -29,4 +31,5 @@ ORACLES = {
     "op7_mix_sources": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_quality": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
