@@ -10,6 +10,7 @@ from docweave.llm.quality import OP9_SQL, op9_quality
 from docweave.llm.repeats import op4_repeats
 from docweave.llm.secrets import op2_secrets
 from docweave.llm.sharding import op10_shards
+from docweave.llm.token_files import op13_token_files
 from docweave.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES = {
