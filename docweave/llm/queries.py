@@ -12,6 +12,7 @@ from docweave.llm.secrets import op2_secrets
 from docweave.llm.sharding import op10_shards
 from docweave.llm.token_files import op13_token_files
 from docweave.llm.warc import OP5_SQL, op5_warc
+from docweave.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
     "op13_token_files": op13_token_files,
 }
 
