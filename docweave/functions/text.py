@@ -17,9 +17,37 @@ SENTENCE_ENDS = "。？！.!?\n"
 CHARS_PER_TOKEN = 2
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: a one-element array binds it to a lambda variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def bound(value: Column, body: Callable[[Column], Column], like: Column | None = None) -> Column:
+    """body(value) with value computed once: a one-element array binds it to a lambda variable.
+
+    Where body gives the state of a fold, like is that fold's state before, for its type.
+    """
+    if like is None:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array(value), like, lambda _, v: body(v))
+
+
+def folded(items: Column, start: Column, none: Column, step: Callable[[Column, Column], Column], end: Callable[[Column], Column] | None = None) -> Column:
+    """All that a fold over an array gives out. Its state is a struct whose first field, out, is an array to which step adds; end gives what the last state adds.
+
+    Spark copies a fold's state with all that is in it at each step. So the items are taken in runs of about the square root of their
+    number, and what a run gives out is put aside before the next: a step copies no more than its run's output. none is an empty array of out's type.
+    """
+
+    def runs(all_: Column) -> Column:
+        state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
+
+        def by_run(n: Column) -> Column:
+            def one(acc: Column, k: Column) -> Column:
+                return bound(F.aggregate(F.slice(all_, k * n + 1, n), acc["last"], step), lambda s: state(F.concat(acc["done"], F.array(s["out"])), s.withField("out", none)), acc)
+
+            last = (lambda s: s["out"]) if end is None else (lambda s: F.concat(s["out"], end(s)))
+            turns = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / n).cast("int"))
+            return F.aggregate(turns, state(F.slice(F.array(none), 1, 0), start), one, lambda acc: F.concat(F.flatten(acc["done"]), last(acc["last"])))
+
+        return bound(F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(all_))).cast("int")), by_run, none)
+
+    return bound(items, runs, none)
 
 
 def strip(text: Column) -> Column:

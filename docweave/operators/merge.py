@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.text import blank, bound, splitlines, strip
+from docweave.functions.text import blank, bound, folded, splitlines, strip
 from docweave.operators.segment import OVERLAP_TOKENS
 
 TOKENS_A_LINE = 20
@@ -35,26 +35,29 @@ def shared_lines(before: Column, after: Column, depth: int) -> Column:
 def merged(parts: Column, overlap: int = OVERLAP_TOKENS) -> Column:
     """One labelled text from an array of labelled chunks in order.
 
-    The fold carries the lines of each chunk as an array of its own, and the last few lines of all. Lines are joined once, at the end.
+    The fold gives out the lines of each chunk as an array of its own and carries the last few lines of all. Lines are joined once, at the end.
     """
     depth = search_depth(overlap)
-    state = lambda chunks_, tail: F.struct(chunks_.alias("chunks"), tail.alias("tail")).cast("struct<chunks:array<array<string>>,tail:array<string>>")
+    state = lambda out, tail: F.struct(out.alias("out"), tail.alias("tail"))
     last = lambda lines_: F.slice(lines_, F.greatest(F.size(lines_) - depth + 1, F.lit(1)), F.lit(depth))
 
     def add(acc: Column, part: Column) -> Column:
-        more = lambda lines_: state(F.concat(acc["chunks"], F.array(lines_)), last(F.concat(acc["tail"], last(lines_))))
+        more = lambda lines_: state(F.concat(acc["out"], F.array(lines_)), last(F.concat(acc["tail"], last(lines_))))
 
         def with_lines(now: Column) -> Column:
             def after(k: Column) -> Column:
                 gap = ~blank(F.element_at(acc["tail"], -1)) & ~blank(F.get(now, F.lit(0)))
                 apart = F.when(gap, F.concat(F.array(F.lit("")), now)).otherwise(now)
-                return bound(F.when(k > 0, F.slice(now, k + 1, F.size(now) - k)).otherwise(apart), more)
+                return bound(F.when(k > 0, F.slice(now, k + 1, F.size(now) - k)).otherwise(apart), more, acc)
 
-            return F.when(F.size(now) == 0, acc).when(F.size(acc["tail"]) == 0, more(now)).otherwise(bound(shared_lines(acc["tail"], now, depth), after))
+            return F.when(F.size(now) == 0, acc).when(F.size(acc["tail"]) == 0, more(now)).otherwise(bound(shared_lines(acc["tail"], now, depth), after, acc))
 
-        return F.when(blank(part), acc).otherwise(bound(splitlines(part), with_lines))
+        return F.when(blank(part), acc).otherwise(bound(splitlines(part), with_lines, acc))
 
-    first = bound(splitlines(F.get(parts, F.lit(0))), lambda lines_: state(F.array(lines_), last(lines_)))
-    joined = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), first, add, lambda acc: strip(F.array_join(F.flatten(acc["chunks"]), "\n")))
+    def all_lines(first: Column) -> Column:
+        begin = state(F.array(first), last(first))
+        return strip(F.array_join(F.flatten(folded(F.slice(parts, F.lit(2), F.size(parts) - 1), begin, F.array().cast("array<array<string>>"), add)), "\n"))
+
+    joined = bound(splitlines(F.get(parts, F.lit(0))), all_lines)
     many = bound(joined, lambda t: F.when(F.length(t) > 0, F.concat(t, F.lit("\n"))).otherwise(t))
     return F.when(F.size(parts) == 0, F.lit("")).when(F.size(parts) == 1, strip(F.get(parts, F.lit(0)))).otherwise(many)
