@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,14 +42,19 @@ _TOO_WIDE = 255
 # Words.
 
 
+@functools.cache
+def _short_bits() -> np.ndarray:
+    """How many bits each number below 2 ** 16 needs."""
+    return np.concatenate([np.zeros(1, np.uint8), *(np.full(1 << k, k + 1, np.uint8) for k in range(16))])
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     """How many bits each id needs."""
-    out, left = np.zeros(ids.shape, np.uint8), ids.astype(np.uint64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        wide = left >= np.uint64(1 << shift)
-        out[wide] += shift
-        left = np.where(wide, left >> np.uint64(shift), left)
-    return out + (left > 0)
+    out, left = np.zeros(ids.shape, np.uint8), ids
+    while left.max(initial=0) >> 16:
+        out += np.where(left >> np.uint64(16), np.uint8(16), np.uint8(0))
+        left = np.where(left >> np.uint64(16), left >> np.uint64(16), left)
+    return out + _short_bits()[left]
 
 
 def _choices(bits: np.ndarray) -> np.ndarray:
@@ -203,50 +209,71 @@ class Reader:
 
 #: A space before something else than white space: the tokenizer's own cut of a text always falls here, so both sides can be encoded apart.
 _CUT = re.compile(r" (?=\S)")
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 _SLICE = 1 << 20
+#: Marks that are a piece of their own after a letter, and the first character beyond the Latin letters.
+_MARKS, _LATIN = ".,;:!?", "ɐ"
+
+
+class _Uneven(Exception):
+    """A word that is empty or begins with white space."""
+
+
+class _Words(dict):
+    """The ids of words that stand after a space, as bytes; those of words not met yet come from the tokenizer. At most ``most`` are kept."""
+
+    def __init__(self, of: Encoder, most: int) -> None:
+        self._of, self._most = of, most
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _Uneven
+        if len(self) >= self._most:
+            self.clear()
+        self[word] = ids = self._of.part(" " + word)
+        return ids
 
 
 class Encoder:
-    """A byte-level tokenizer that keeps the ids of words that it has met.
+    """A tokenizer of the byte-level kind that keeps the ids of words that it has met.
 
-    Words are what single spaces part; the ids of a text are those of its words one after another. At most ``most`` words are kept. A word of letters, with or without
-    punctuation after it, goes to the tokenizer's model at once; every other one through the whole tokenizer.
+    Words are what single spaces part; the ids of a text are those of its words one after another. A word is cut by the tokenizer's own rules and
+    goes to its model; one that may hold an added token, and every one where the tokenizer changes texts first, goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self._tokenizer, self._most = Tokenizer.from_file(path), most
-        self._model, self._end = self._tokenizer.model, np.array([end_id], "<u4").tobytes()
+        self._tokenizer = tokenizer = Tokenizer.from_file(path)
+        self._cut, self._model, self._end = tokenizer.pre_tokenizer, tokenizer.model, array("I", [end_id]).tobytes()
+        self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self._by_parts = tokenizer.normalizer is None and isinstance(self._cut, ByteLevel) and self._cut.use_regex and not self._cut.add_prefix_space
         whole = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._signs = {c: whole.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0xC0, 0x250))}
-        self._words: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self._words) + len(words) > self._most:
-            self._words.clear()
-        rest = []
-        for word in words:
-            found = _SIMPLE.fullmatch(word)
-            if found is None:
-                rest.append(word)
-                continue
-            letters, marks = found.groups()
-            ids = self._words.get(letters) if marks else None
-            if ids is None:
-                ids = np.array([t.id for t in self._model.tokenize(self._signs[0x20] + letters.translate(self._signs))], "<u4").tobytes()
-                self._words[letters] = ids
-            if marks:
-                if marks not in self._marks:
-                    self._marks[marks] = self._whole([marks])[0]
-                self._words[word] = ids + self._marks[marks]
-        self._words.update(zip(rest, self._whole([" " + w for w in rest])))
+        self._signs = {c: whole.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x80, 0x250))}
+        self._words, self._pieces, self._most = _Words(self, most), {}, most
+        self._mark = {m: array("I", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in _MARKS}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the tokenizer has cut, in its own letters for bytes."""
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+
+    def part(self, text: str) -> bytes:
+        """Ids of a part of a text that begins and ends where the tokenizer cuts."""
+        if not self._by_parts or any(a in text for a in self._added):
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if text[:1] == " " and max(text) < _LATIN:  # most often letters, which are one piece, or those and a mark, which are two
+            if text[1:].isalpha():
+                return self._piece(text.translate(self._signs))
+            if text[-1] in _MARKS and text[1:-1].isalpha():
+                return self._words[text[1:-1]] + self._mark[text[-1]]
+        out = []
+        for piece, _ in self._cut.pre_tokenize_str(text):
+            if (ids := self._pieces.get(piece)) is None:
+                if len(self._pieces) >= self._most // 10:
+                    self._pieces.clear()
+                self._pieces[piece] = ids = self._piece(piece)
+            out.append(ids)
+        return b"".join(out)
 
     def _slices(self, text: str) -> Iterator[str]:
         """The text in pieces of about _SLICE characters that can be encoded apart."""
@@ -256,32 +283,17 @@ class Encoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def _ids(self, text: str) -> Iterator[bytes]:
+    def _ids(self, text: str) -> bytes:
         first, *words = text.split(" ")
-        if first:
-            yield self._whole([first])[0]
-        found = list(map(self._words.get, words))
-        if None in found:
-            missing = {w for w, ids in zip(words, found) if ids is None}
-            if any(not w or w[0].isspace() for w in missing):  # more white space than a single space: cut elsewhere
-                yield from self._uneven(text[len(first) :])
-                return
-            self._learn(missing)
-            found = list(map(self._words.get, words))
-            if None in found:  # forgotten since
-                yield self._whole([text[len(first) :]])[0]
-                return
-        yield b"".join(found)
-
-    def _uneven(self, text: str) -> Iterator[bytes]:
-        """As _ids() for a text that starts with a space, where words stand apart by more than a space."""
-        cuts = [0, *(m.start() for m in _CUT.finditer(text, 1)), len(text)]
-        yield from self._whole([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        try:
+            return (self.part(first) if first else b"") + b"".join(map(self._words.__getitem__, words))
+        except _Uneven:  # more white space than a single space: cut elsewhere
+            cuts = [0, *(m.start() for m in _CUT.finditer(text, 1)), len(text)]
+            return self.part(text[: cuts[1]]) + b"".join(self._words[text[a + 1 : b]] for a, b in zip(cuts[1:], cuts[2:]))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text (null: of the empty one) and the end id."""
-        parts = [ids for piece in self._slices(text or "") if piece for ids in self._ids(piece)]
-        return np.frombuffer(b"".join([*parts, self._end]), "<u4")
+        return np.frombuffer(b"".join([*(self._ids(piece) for piece in self._slices(text or "") if piece), self._end]), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
