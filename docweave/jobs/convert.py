@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from docweave.functions.text import blank, tokens
 from docweave.operators.label import Labeler, labelled, markdown, rule
 from docweave.operators.merge import merged
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks
 from docweave.sources.files import MAX_BYTES, PdfReader, extracted, rejects, scan
+from docweave.sources.labels import label_once, reason
 
 
 def convert(docs: DataFrame, text: str = "text", labeler: Labeler = rule, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, clean: bool = False) -> DataFrame:
@@ -61,11 +61,10 @@ def assembled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     t, failed = F.col(text), F.col("labelled").isNull()
     sized = docs.select(F.col(key).alias(key), tokens(t).alias("n_tokens"), t.isNull().alias("_missing"))
-    reason = F.col("error.message") if isinstance(labels.schema["error"].dataType, StructType) else F.col("error")
     found = labels.groupBy(F.col(key).alias("_key")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "labelled"))), lambda c: c["labelled"]).alias("_parts"),
         F.count_if(failed).alias("_failed"),
-        F.min_by(F.coalesce(reason, F.lit("no label")), F.when(failed, F.col("chunk_ix"))).alias("_error"),
+        F.min_by(F.coalesce(reason(labels), F.lit("no label")), F.when(failed, F.col("chunk_ix"))).alias("_error"),
     )
     out = sized.join(found, F.col(key) == F.col("_key"), "left").withColumn("route", F.when(F.col("n_tokens") <= max_tokens, "direct").otherwise("chunked"))
     chunked, whole = F.col("route") == "chunked", F.coalesce(F.col("_failed"), F.lit(0)) == 0
@@ -81,12 +80,15 @@ def assembled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return out.select(key, "n_tokens", "route", F.when(stage.isNull(), F.col("_md")).alias("markdown"), "error_stage", F.when(F.col("error_stage") == "label", F.col("_error")).alias("error"))
 
 
-def convert_by_rows(docs: DataFrame, label: Callable[[DataFrame], DataFrame], store: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, clean: bool = False) -> DataFrame:
+def convert_by_rows(docs: DataFrame, label: Callable[[DataFrame], DataFrame], store: str | None = None, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, clean: bool = False, setting: str | None = None) -> DataFrame:
     """The conversion with a labeler of rows, such as ``lambda rows: remote.label(rows, service, (key, "chunk_ix"))``.
 
     label takes chunk_rows() and adds labelled and error. Calls to a service aren't repeatable and cost money, so its labels are written to
-    store (a new path that all executors reach) once, and everything after reads them there.
+    store (a new path that all executors reach) once, and everything after reads them there. With setting, which names whatever else decides a
+    label (model, prompt), store may also be one of sources.labels, whose labels are used again: label then gets rows (digest, chunk).
     """
+    if setting is not None:
+        return assembled(docs, label_once(chunk_rows(docs, key, text, max_tokens, overlap, clean), label, store, setting), key, text, max_tokens, overlap)
     labels = label(chunk_rows(docs, key, text, max_tokens, overlap, clean))
     if store is not None:
         labels.write.parquet(store)

@@ -6,20 +6,21 @@ Files are scanned with Spark's binaryFile source, so type and size filters act o
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.paths import file_type, result_name
 from docweave.functions.text import blank
+from docweave.sources.sink import publish
 
 MAX_BYTES = 32 << 20
+#: Bytes of a document's XML.
+MAX_UNPACKED = 256 << 20
 #: Files of the supported types, in any case.
 GLOB = "*.{[dD][oO][cC][xX],[pP][dD][fF]}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -31,28 +32,64 @@ def scan(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int
     return reader.load(path).where(F.col("length") <= max_bytes).select("path", "length", "content", file_type(F.col("path")).alias("file_type"))
 
 
-def rejects(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, file_type, error_stage, error) of the files that scan() leaves out: unsupported types, and files above max_bytes. Contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    listed = found.select("path", "length", file_type(F.col("path")).alias("file_type"))
+def left_out(listed: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, file_type, error_stage, error) of the rows (path, length, file_type) that aren't to be read: unsupported types, and files above max_bytes."""
     stage = F.when(F.col("file_type") == "unsupported", "type").when(F.col("length") > max_bytes, "size")
     reason = F.when(F.col("error_stage") == "type", F.lit("unsupported file type")).otherwise(F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {max_bytes}")))
     return listed.withColumn("error_stage", stage).where("error_stage is not null").select("path", "file_type", "error_stage", reason.alias("error"))
 
 
-def read_paragraphs(content: bytes) -> list[str]:
-    """Texts of the body's own paragraphs, empty ones too. Tables and headers are not visited. Files that are no DOCX raise errors of many kinds."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    if body is None:
-        raise ValueError("a DOCX without a body")
-    signs = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+def rejects(spark: SparkSession, path: str, recursive: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """left_out() of a folder, or of one file: what scan() doesn't give. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return left_out(found.select("path", "length", file_type(F.col("path")).alias("file_type")), max_bytes)
+
+
+class _Bounded:
+    """The bytes of a stream, up to a number; one more is an error. What an archive says about its sizes isn't believed."""
+
+    def __init__(self, source, most: int) -> None:
+        self._source, self._left, self._most = source, most, most
+
+    def read(self, n: int = -1) -> bytes:
+        data = self._source.read(min(n, self._left + 1) if n >= 0 else self._left + 1)
+        self._left -= len(data)
+        if self._left < 0:
+            raise ValueError(f"the document is more than {self._most} bytes when unpacked")
+        return data
 
-    def text(paragraph) -> str:
-        runs = [r for child in paragraph for r in ([child] if child.tag == f"{_W}r" else child.findall(f"{_W}r") if child.tag == f"{_W}hyperlink" else [])]
-        return "".join((x.text or "") if x.tag == f"{_W}t" else signs.get(x.tag, "") for r in runs for x in r)
 
-    return [text(p) for p in body.findall(f"{_W}p")]
+#: Text of a run's elements other than text.
+_SIGNS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+#: Where the runs are whose text counts, seen from the body's children.
+_RUNS = ([f"{_W}p", f"{_W}r"], [f"{_W}p", f"{_W}hyperlink", f"{_W}r"])
+
+
+def read_paragraphs(content: bytes, max_unpacked: int = MAX_UNPACKED) -> list[str]:
+    """Texts of the body's own paragraphs, empty ones too. Tables and headers are not visited. Files that are no DOCX raise errors of many kinds.
+
+    The XML is read as it is unpacked and no more than max_unpacked bytes of it; an element is forgotten as soon as it ends. Memory is that of the texts.
+    """
+    out, texts, ancestors = None, [], []
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("word/document.xml") as part:
+        for event, element in ElementTree.iterparse(_Bounded(part, max_unpacked), events=("start", "end")):
+            if event == "start":
+                if len(ancestors) == 1 and element.tag == f"{_W}body" and out is None:
+                    out = []
+                ancestors.append(element)
+                continue
+            ancestors.pop()
+            tags = [x.tag for x in ancestors[:6]]
+            if tags[1:2] == [f"{_W}body"] and tags[2:] in _RUNS:
+                texts.append((element.text or "") if element.tag == f"{_W}t" else _SIGNS.get(element.tag, ""))
+            elif tags[1:] == [f"{_W}body"] and element.tag == f"{_W}p":
+                out.append("".join(texts))
+                texts = []
+            if ancestors and ancestors[-1].tag != f"{_W}t":
+                ancestors[-1].clear()
+    if out is None:
+        raise ValueError("a DOCX without a body")
+    return out
 
 
 PdfReader = Callable[[bytes], "list[str] | None"]
@@ -107,21 +144,5 @@ def named_results(results: DataFrame) -> DataFrame:
 
 
 def write_markdown(results: DataFrame, folder: str) -> DataFrame:
-    """Write one UTF-8 file per row of named_results() that doesn't collide, overwriting; returns the paths written.
-
-    A file is written under another name and moved, so where the store moves at once (local disks, HDFS) it is complete or absent.
-    Writing again after a lost task gives the same file.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = files.FileSystem.from_uri(folder)
-        for batch in batches:
-            store.create_dir(base, recursive=True)
-            for name, text in zip(batch["out_path"], batch["markdown"]):
-                part = f"{base}/.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as out:
-                    out.write(text.encode())
-                store.move(part, f"{base}/{name}")
-            yield batch[["out_path"]]
-
-    return results.where(~F.col("collides")).select("out_path", "markdown").mapInPandas(write, "out_path string")
+    """Write one UTF-8 file per document that succeeded, overwriting; returns the names written. See sink.publish(), which also gives the manifest and counts."""
+    return publish(results, folder).manifest.where("status = 'written'").select("out_path")
