@@ -26,6 +26,10 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BODY = frozenset(("article", "main"))
+#: Blocks that end an open paragraph, as far as a cell or button around them.
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+_P_SCOPE = frozenset("button caption html table td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class and id attributes that mark what isn't part of the article. As the last part of a name ("site-footer"), or any part outside
 #: of article and main ("ad-slot"), they count on elements that hold neither the longest article or main element nor half of the page's text.
 MARKS = frozenset(
@@ -47,6 +51,13 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+#: A short line of this form outside of article and main is a notice.
+_COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:©|\(c\))|copyright\s+\d{4}|.*\ball rights reserved\.?$", re.I)
+_NOTICE_CHARS = 120
+#: Characters outside of links that make a paragraph more than a link.
+_OWN_CHARS = 10
+
+
 @dataclass(frozen=True)
 class Settings:
     """Lines in a window, the least window sum of a surge, and how much more a character in an article or main element weighs."""
@@ -64,24 +75,27 @@ class Line:
     body: int  # number of the outermost article or main element around it, or 0
     article: int  # number of the innermost article element around it, or 0
     doubtful: tuple[int, ...] = ()  # numbers of the elements around it that only a part of a name marks
+    header: int = 0  # number of the element around the header that alone sets it aside, or 0
+    tag: str = ""
+    around: int = 0  # number of the element around its paragraph or heading
 
 
 def _is_aside(name: str, attributes: str, inside: bool) -> bool | None:
     """Whether an element isn't part of the article; None where only a part of a class or id says so."""
     if name in ASIDE and not (name == "header" and inside):
         return True
-    doubtful = False
+    own, doubtful = name == "header", False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "role" and not ROLES.isdisjoint(value.split()) or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key in ("class", "id") and name not in ("html", "body", "main"):
-            names = value.split()
+            names = [x for x in value.split() if not (own and x == "header")]
             if not MARKS.isdisjoint(names):
                 return True
             for x in names:
-                parts = [part for part in re.split(r"[^a-z0-9]+", x) if part]
-                doubtful = doubtful or NEGATIONS.isdisjoint(parts) and not MARKS.isdisjoint(parts[-1:] if inside else parts)
+                parts = [part for part in re.split(r"[^a-z0-9]+", x) if part and not (own and part == "header")]
+                doubtful = doubtful or bool(parts) and NEGATIONS.isdisjoint(parts) and not MARKS.isdisjoint(parts[-1:] if inside else parts)
     return None if doubtful else False
 
 
@@ -89,22 +103,33 @@ def lines_of(html: str) -> list[Line]:
     """The blocks of a page in order, without markup."""
     html = _GONE.sub(" ", html)
     lines: list[Line] = []
-    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # name, aside, body, article, doubtful
+    stack: list[tuple[str, bool, int, int, tuple[int, ...], int, int]] = []  # name, aside, body, article, doubtful, header, number
+    opened: Counter[str] = Counter()  # how many of a name the stack holds, so that ends of others cost nothing
     parts: list[str] = []
-    linked, links, count = 0, 0, 0
+    linked, links, count, serial = 0, 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append(Line(text, linked, *(stack[-1][1:] if stack else (False, 0, 0))))
+            top = stack[-1] if stack else ("", False, 0, 0, (), 0, 0)
+            own = top[0] == "p" or top[0] in HEADINGS
+            notice = not top[2] and len(text) <= _NOTICE_CHARS and _COPYRIGHT.match(text) is not None
+            lines.append(Line(text, linked, top[1] or notice, *top[2:6], top[0], stack[-2][6] if own and len(stack) > 1 else 0))
         linked = 0
 
+    def close(k: int) -> None:
+        """Pop the stack down to k elements."""
+        for entry in stack[k:]:
+            opened[entry[0]] -= 1
+        del stack[k:]
+
     def begin(name: str, attributes: str) -> bool:
         """Push an element; whether it may be one that isn't part of the article, and none around it is."""
-        nonlocal count
-        around, body, article, doubtful = stack[-1][1:] if stack else (False, 0, 0, ())
+        nonlocal count, serial
+        parent, around, body, article, doubtful, header, number = stack[-1] if stack else ("", False, 0, 0, (), 0, 0)
+        serial += 1
         aside = around or bool(attributes or name in ASIDE) and _is_aside(name, attributes, body > 0)
         if aside is None:
             count += 1
@@ -112,7 +137,12 @@ def lines_of(html: str) -> list[Line]:
         if name in BODY and not aside:
             count += 1
             body, article = body or count, count if name == "article" else article
-        stack.append((name, bool(aside), body, article, doubtful))
+        if name == "header" and aside and not around and parent not in ("", "html", "body"):
+            header = number
+        elif aside and not around or name in ASIDE:
+            header = 0
+        stack.append((name, bool(aside), body, article, doubtful, header, serial))
+        opened[name] += 1
         return aside is None or aside and not around
 
     at = 0
@@ -132,26 +162,32 @@ def lines_of(html: str) -> list[Line]:
         if m[1]:
             if name == "a":
                 links = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name == "span":
-                        end_block()
-                    del stack[k:]
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if name == "span":
+                    end_block()
+                close(k)
         elif name == "a":
             links = 1
-        elif name == "p":
-            if stack and stack[-1][0] == "p":  # a paragraph ends where the next begins
-                stack.pop()
-            begin(name, m[3])
-        elif name in BLOCK and name not in VOID and not m[3].endswith("/"):
-            begin(name, m[3])
+        elif name in BLOCK:
+            if name in ENDS_P and opened["p"]:
+                k = len(stack) - 1
+                while stack[k][0] != "p" and stack[k][0] not in _P_SCOPE:
+                    k -= 1
+                if stack[k][0] == "p":
+                    close(k)
+            if name == "p" or name not in VOID and not m[3].endswith("/"):
+                begin(name, m[3])
         elif name == "span" and m[3] and not m[3].endswith("/"):
             marked = begin(name, m[3])
             top = stack.pop()
             if marked:
                 end_block()
                 stack.append(top)
+            else:
+                opened[name] -= 1
     if at < len(html):
         parts.append(html[at:])
     end_block()
@@ -209,9 +245,10 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     """Blocks of the article, joined by one line feed; empty for null and for pages without text."""
     if not html:
         return ""
-    lines = [x for x in lines_of(html) if not x.aside]
-    teasers = _teasers(lines)
-    lines = [x for x in lines if x.article not in teasers]
+    every = lines_of(html)
+    teasers = _teasers([x for x in every if not x.aside])
+    places = [k for k, x in enumerate(every) if not x.aside and x.article not in teasers]
+    lines = [every[k] for k in places]
     sizes = [0 if 2 * x.linked > len(x.text) and not x.body else len(x.text) for x in lines]
 
     def found(sizes: list[int]) -> list[tuple[int, int]]:
@@ -227,7 +264,25 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     spans = found(sizes)
     kept = {k for start, end in spans for k in range(start, end) if sizes[k]}
     seeds = {lines[k].body for k in kept} - {0} if sizes is inside else set()  # an element that surges is kept whole
-    return "\n".join(x.text for k, x in enumerate(lines) if sizes[k] and (k in kept or x.body in seeds))
+    kept |= {k for k, x in enumerate(lines) if sizes[k] and x.body in seeds}
+    if sizes is inside:
+        return "\n".join(lines[k].text for k in sorted(kept))
+    return "\n".join(every[k].text for k in _with_siblings(every, places, lines, kept, settings))
+
+
+def _with_siblings(every: list[Line], places: list[int], lines: list[Line], kept: set[int], settings: Settings) -> list[int]:
+    """Places among every line of the kept ones, and of two kinds of lines that belong to them.
+
+    Where paragraphs of one element hold a surge's worth of kept text, so do its other paragraphs, short or with much of their text linked, and the
+    headings of a header within it. Paragraphs that are nothing but links don't.
+    """
+    chars: Counter[int] = Counter()
+    for k in kept:
+        chars[lines[k].around] += len(lines[k].text) if lines[k].tag == "p" else 0
+    homes = {e for e, n in chars.items() if e and n >= settings.surge}
+    more = {k for k, x in enumerate(lines) if x.tag == "p" and x.around in homes and len(x.text) - x.linked >= _OWN_CHARS}
+    titles = {k for k, x in enumerate(every) if x.aside and x.header in homes and x.tag in HEADINGS}
+    return sorted({places[k] for k in kept | more} | titles)
 
 
 def extractor(settings: Settings):
@@ -244,7 +299,8 @@ def extractor(settings: Settings):
 def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points); one pass without a shuffle.
 
-    Null html gives the empty text; ids and urls may be null or repeated, each row has its own result; an empty table gives no rows.
+    Null html gives the empty text; ids and urls may be null or repeated, and each row, the equal ones too, has its own result. A page is read in time
+    linear in its length, however long or deeply nested, and held by one task. Other columns, whatever their names, aren't looked at; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return rows.mapInArrow(extractor(settings), "page_id long, url string, text string, n_chars long")

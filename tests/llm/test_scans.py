@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import string
 
 import pytest
@@ -282,3 +283,37 @@ def test_odd_rows_by_value(docs_of):
         shown = lambda t: hashlib.sha256(text_of(t).encode()).hexdigest() if scan is secrets.secrets else text_of(t)
         want = sorted(((r[0] is None, r[0], shown(r[1])) for r in [*ODD, (8, "password=hunter22 all rights reserved " * 3000)]), key=repr)
         assert sorted(((r["doc_id"] is None, r["doc_id"], r[column]) for r in rows), key=repr) == want
+
+
+ONE = "<p>A paragraph of the article with enough words in it to be text, number %d.</p>"
+MANY = "".join(ONE % k for k in range(3))
+MANY_TEXT = "\n".join((ONE % k)[3:-4] for k in range(3))
+LINKS = "".join(f'<p><a href="#">Nothing but a link, {k}</a></p>' for k in range(3))
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<article><p class="notice">N<div>%s</div></article>', MANY_TEXT),  # a block ends a paragraph
+    ('<table><tr><td><p class="notice">N</td><td>%s</td></table>', MANY_TEXT),
+    (f'<div class="content">%s{LINKS}<p>The end, short.</p></div><div>{LINKS}<p>Another box.</p></div>', MANY_TEXT + "\nThe end, short."),
+    ('<div class="page"><header><h1>Site</h1></header><div class="content"><header><h1>Title</h1><p>by me</p></header>%s</div></div>', "Title\n" + MANY_TEXT),
+    ('<header><h1>Site</h1></header>%s', MANY_TEXT),
+    ('<article><header class="header"><h1>Title</h1></header>%s</article>', "Title\n" + MANY_TEXT),
+    ('<div>%s<p><a href="#">Most of this one stands within a link</a>, but it has more.</p></div>', MANY_TEXT + "\nMost of this one stands within a link, but it has more."),
+    ('<div>%s</div><div><p>© 2024 Example Inc.</p></div>', MANY_TEXT),
+    ('<article>%s<p>All rights reserved.</p></article>', MANY_TEXT + "\nAll rights reserved."),
+])
+def test_what_belongs_to_the_article(html, text):
+    assert pages.main_text(html % MANY) == text
+
+
+def test_two_short_lines_without_their_copyright():
+    assert pages.main_text("<div><p>Short one.</p><p>Short two.</p></div><div><p>Copyright 2024 Example</p></div>") == "Short one.\nShort two."
+
+
+def test_pages_are_read_in_linear_time():
+    def seconds(n):
+        start = time.process_time()
+        pages.main_text("<div>" * n + "x" + "</section>" * n + "</div>" * n)
+        return time.process_time() - start
+
+    assert seconds(40_000) < 16 * max(seconds(5_000), 0.02)
