@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import llm_api, paths
-from docweave.functions.text import WHITE, bound, escape_html, filled_lines, lines, mask, preview, splitlines, tokens, uri_component
+from docweave.functions.text import SENTENCE_ENDS, WHITE, bound, escape_html, filled_lines, lines, mask, preview, splitlines, strip, tokens, uri_component
 from docweave.jobs.convert import convert, convert_by_rows, summary
 from docweave.jobs.uploads import replies
-from docweave.operators.label import LABELERS, blocks, labelled, markdown, mod, rejected, rule
-from docweave.operators.merge import merged, search_depth, shared_lines
+from docweave.operators.label import LABELERS, blocks, by_model, labelled, markdown, mod, rejected, rule
+from docweave.operators.merge import merged, merged_rows, search_depth, shared_lines
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks, hard_split, paragraphs, sentences
 
 #: Limits at which every branch of the splitter runs on small data.
@@ -360,6 +360,16 @@ def merged_labels(spark, sf_dir):
     return if_any(documents(spark, sf_dir), labelled_parts(), lambda p: F.struct(merged(p, SMALL[1]).alias("labelled")))
 
 
+@query("merged_by_rows", ORACLES["merged_labels"])
+def merged_by_rows(spark, sf_dir):
+    """The same from rows: each chunk adds its lines, and a document's are joined at the end."""
+    rows = exploded(documents(spark, sf_dir), "doc_id", labelled_parts(), "chunk_ix", "labelled")
+    each = merged_rows(rows, overlap=SMALL[1]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_ix", "lines"))).alias("_parts"))
+    text = strip(F.array_join(F.flatten(F.transform("_parts", lambda p: p["lines"])), "\n"))
+    many = (F.size("_parts") > 1) & (F.length(text) > 0)
+    return each.select("doc_id", F.when(many, F.concat(text, F.lit("\n"))).otherwise(text).alias("labelled"))
+
+
 _STAGE = lambda md: f"CASE WHEN length({md}) = 0 THEN 'format' END"
 
 
@@ -406,6 +416,22 @@ def pipeline_by_rows(spark, sf_dir):
     return convert_by_rows(documents(spark, sf_dir), label, max_tokens=SMALL[0], overlap=SMALL[1]).select("doc_id", "markdown", "error_stage")
 
 
+def rule_model():
+    """A stand-in for a model: the rule on lines, applied to lists of texts."""
+    heads = ((20, "H1"), (40, "H2"), (60, "H3"), (80, "H4"))
+
+    def kind(line: str) -> str:
+        return "P" if line[-1] in SENTENCE_ENDS else next((name for most, name in heads if len(line) <= most), "P")
+
+    return lambda texts: ["\n".join(f"{kind(s)}: {s}" for s in (line.strip(WHITE) for line in text.strip(WHITE).split("\n")) if s) for text in texts]
+
+
+@query("pipeline_by_model", ORACLES["pipeline_chunked"])
+def pipeline_by_model(spark, sf_dir):
+    """The conversion with a model in the tasks, loaded once in each worker."""
+    return convert_by_rows(documents(spark, sf_dir), by_model(rule_model), max_tokens=SMALL[0], overlap=SMALL[1]).select("doc_id", "markdown", "error_stage")
+
+
 @query("order_restore", _SMALL + "SELECT doc_id, array_to_string(a, '') AS joined FROM packed WHERE len(a) > 0")
 def order_restore(spark, sf_dir):
     """Chunks come back in any order and are sorted by their number."""

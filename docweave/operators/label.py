@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import SENTENCE_ENDS, filled_lines, strip
@@ -36,6 +38,54 @@ def labelled(text: Column, labeler: Labeler = rule) -> Column:
     return F.array_join(F.transform(filled_lines(text), one), "\n")
 
 
+#: Texts to labelled texts, as many and in the same order.
+Model = Callable[[list[str]], list[str]]
+#: Models of this Python worker by the labeler that loaded them.
+_loaded: dict[str, Model] = {}
+
+
+def _model(name: str, load: Callable[[], Model]) -> Model:
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def by_model(load: Callable[[], Model], text: str = "chunk", most: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """A labeler of rows that runs a model in the tasks: all columns of the rows, labelled, and error.
+
+    load is called once in each Python worker, whatever tasks it runs, and the model gets up to ``most`` texts at a time, of an Arrow batch as it comes. If it raises,
+    the texts are tried one by one, and those that fail have a null label and the reason. Null texts have no label.
+    """
+    name = uuid.uuid4().hex
+
+    def attempt(model: Model, texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            found = model(texts)
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} labels for {len(texts)} texts")
+            return [(label, None if label is not None else "no label") for label in found]
+        except Exception as e:  # noqa: BLE001 - whatever a model raises is a row's reason
+            if len(texts) > 1:
+                return [x for t in texts for x in attempt(model, [t])]
+            return [(None, f"{type(e).__name__}: {e}"[:500])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(name, load)
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                texts = part.column(part.schema.get_field_index(text)).to_pylist()
+                found = iter(attempt(model, [t for t in texts if t is not None]) if any(t is not None for t in texts) else [])
+                rows = [(None, "no text") if t is None else next(found) for t in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=[*part.schema.names, "labelled", "error"])
+
+    def label(rows: DataFrame) -> DataFrame:
+        kept = rows.drop("labelled", "error")
+        return kept.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + ", labelled string, error string")
+
+    return label
+
+
 def block(line: Column) -> Column:
     """Markdown of a labelled line; null if its label is unknown."""
     out = F.lit(None).cast("string")

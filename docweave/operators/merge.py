@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.text import blank, bound, folded, splitlines, strip
@@ -61,3 +64,43 @@ def merged(parts: Column, overlap: int = OVERLAP_TOKENS) -> Column:
     joined = bound(splitlines(F.get(parts, F.lit(0))), all_lines)
     many = bound(joined, lambda t: F.when(F.length(t) > 0, F.concat(t, F.lit("\n"))).otherwise(t))
     return F.when(F.size(parts) == 0, F.lit("")).when(F.size(parts) == 1, strip(F.get(parts, F.lit(0)))).otherwise(many)
+
+
+def _shared(before: list[str], after: list[str]) -> int:
+    """shared_lines() of stripped lines."""
+    for k in range(min(len(before), len(after)), 0, -1):
+        if before[-k:] == after[:k] and (k == 1 or any(len(s) > 3 for s in after[:k])):
+            return k
+    return 0
+
+
+def merged_rows(labels: DataFrame, key: str = "doc_id", overlap: int = OVERLAP_TOKENS) -> DataFrame:
+    """(key, chunk_ix, lines): what each labelled chunk (key, chunk_ix, labelled) adds to its document; merged() for documents of any length.
+
+    A task goes through its chunks in order and carries the last few lines of the document, never the document. The lines of a document's rows, one
+    after another, are those that merged() joins. Null and blank chunks add nothing, but for the first, whose lines are all there.
+    """
+    depth, key_type = search_depth(overlap), dict(labels.dtypes)[key]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, tail = object(), []
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                now = (text or "").splitlines()
+                if doc != last_key:
+                    last_key, tail, more = doc, [], now
+                elif not (text or "").strip():
+                    more = []
+                elif not tail:
+                    more = now
+                elif k := _shared([s.strip() for s in tail[-depth:]], [s.strip() for s in now[:depth]]):
+                    more = now[k:]
+                else:
+                    more = [""] * bool(tail[-1].strip() and now[0].strip()) + now
+                tail = (tail + more[-depth:])[-depth:]
+                out.append(more)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=[key, "chunk_ix", "lines"])
+
+    rows = labels.select(F.col(key).alias(key), F.col("chunk_ix").cast("long").alias("chunk_ix"), "labelled").repartition(key).sortWithinPartitions(key, "chunk_ix")
+    return rows.mapInArrow(add, f"`{key}` {key_type}, chunk_ix long, lines array<string>")
