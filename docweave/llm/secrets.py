@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import random
 import re
 import string
@@ -29,6 +31,15 @@ NAME_WORDS = (
     "random range rate read record ref refresh regex region register release remote remove render repo request reset resize resource response result retry return role root route row rule run sample scale schema scope screen script search section select send server service session set shape shared size slice socket sort source span spark stack start state static status step stop storage store stream string style submit sum swap switch sync system "
     "tab table tag target task temp template test text thread throw time title toggle tool top total trace track train tree type unit update upload url user util valid value variable vector version video view virtual wait web widget width win window word work worker write xml zip zone"
 ).split()
+#: Modules whose names and documentation are samples of identifiers and of the words that people build them from.
+LIBRARY = (
+    "argparse ast asyncio bz2 calendar codecs collections concurrent.futures configparser copy csv ctypes datetime decimal difflib dis email.message errno fractions ftplib functools gettext heapq html.parser http.client "
+    "http.cookiejar http.server imaplib inspect io ipaddress itertools json locale logging logging.handlers mailbox math mimetypes multiprocessing numpy numpy.linalg numpy.random operator os os.path pathlib pickle platform plistlib "
+    "poplib pyarrow pyarrow.compute queue re sched select selectors shelve shutil signal smtplib socket socketserver sqlite3 ssl stat statistics string struct subprocess symtable tarfile tempfile textwrap threading time tokenize trace "
+    "traceback types typing unicodedata unittest unittest.mock urllib.parse urllib.request uuid warnings wave weakref xml.dom.minidom xml.etree.ElementTree xml.sax zipfile zoneinfo"
+).split()
+#: Orders of characters that tables and tests write out.
+SEQUENCES = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "qwertyuiop", "asdfghjkl", "zxcvbnm", "QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM", "0123456789abcdef", "0123456789ABCDEF")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 _SEPARATORS = len(string.ascii_letters + string.digits)  # the codes from here on
 _CODE = np.full(128, len(_ALPHABET), np.int64)
@@ -38,7 +49,9 @@ _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
 @dataclass(frozen=True)
 class Settings:
     """The models are fitted on bounded samples: identifiers of ``sample_docs`` documents (of each at most ``sample_chars``
-    characters), ``names`` names as programs have them, ``numbers`` drawn numbers, and ``random_strings`` drawn strings.
+    characters), ``names`` names as programs have them, ``library`` names and words of installed modules, ``numbers`` drawn numbers (and a tenth as many sequences), ``random_strings`` drawn
+    strings, and ``labelled`` rows of a table of labelled strings where one is given. The ordinary model is of second order, and falls back on the
+    first with the weight of ``backoff`` characters; the random one is of first order, since what is random has no longer memory.
 
     A candidate is a run of at least ``min_chars`` characters of the alphabet, or a stretch of such a run; it is reported if its
     log-likelihood ratio reaches ``min_total`` in all and ``min_mean`` per character.
@@ -49,9 +62,12 @@ class Settings:
     names: int = 6000
     random_strings: int = 4000
     numbers: int = 2000
+    library: int = 60_000
+    labelled: int = 20_000
+    backoff: float = 5.0
     min_chars: int = 16
-    min_total: float = 12.0
-    min_mean: float = 0.7
+    min_total: float = 18.0
+    min_mean: float = 1.0
     smoothing: float = 0.5
     seed: int = 5
 
@@ -113,18 +129,61 @@ def plain_numbers(settings: Settings) -> list[str]:
     return [draw.choice(["", "-", "."]).join("".join(draw.choices(string.digits, k=draw.randint(2, 5))) for _ in range(draw.randint(1, 5))) for _ in range(settings.numbers)]
 
 
-def transitions(strings: Iterable[str], smoothing: float) -> np.ndarray:
-    """Log probabilities of a character after another (the last row: at the start)."""
-    n = len(_ALPHABET)
-    counts = np.full((n + 1, n + 1), smoothing)
-    for s in strings:
-        codes = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-        np.add.at(counts, (np.concatenate([[n], codes[:-1]]), codes), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+def library_names(settings: Settings) -> list[str]:
+    """More labelled negatives: names of modules' members as they are, and the words of their documentation, alone and joined as in names."""
+    found: dict[str, None] = {}
+    words: list[str] = []
+    for module in map(importlib.import_module, LIBRARY):
+        members = [getattr(module, n, None) for n in dir(module)]
+        own = [m for m in members if inspect.isclass(m) or inspect.isroutine(m)]
+        for names_ in (dir(module), *(dir(m) for m in own if inspect.isclass(m))):
+            found.update(dict.fromkeys(n.strip("_") for n in names_ if n.isascii()))
+        for thing in (module, *own):
+            doc = getattr(thing, "__doc__", None)
+            words += re.findall(r"[A-Za-z]{3,}", doc) if isinstance(doc, str) else []
+    draw = random.Random(settings.seed + 3)
+    out = sorted(n for n in found if len(n) > 2)
+    draw.shuffle(out)
+    out = out[: settings.library // 3]
+    while len(out) < settings.library and words:
+        few = draw.choices(words, k=draw.randint(1, 5))
+        out.append(draw.choice((" ", "")).join(w.capitalize() for w in few).replace(" ", draw.choice("_-./")) if draw.random() < 0.6 else draw.choice("_-./").join(few).lower())
+    return out
+
+
+def sequences(settings: Settings) -> list[str]:
+    """More labelled negatives: SEQUENCES, a few in a row."""
+    draw = random.Random(settings.seed + 4)
+    return ["".join(draw.choices(SEQUENCES, k=draw.randint(1, 4))) for _ in range(settings.numbers // 10)]
 
 
-def fit(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """Log ratios of both models, random over ordinary. docs has doc_id and text; the sample is the documents of least hash.
+def labelled_sample(labelled: DataFrame | None, settings: Settings) -> tuple[list[str], list[str]]:
+    """(secrets, ordinary) of a table (value, secret): its ``labelled`` rows of least hash. Null values and labels are left out, and characters outside of the alphabet part strings."""
+    if labelled is None:
+        return [], []
+    rows = labelled.where("value is not null and secret is not null").orderBy(F.xxhash64(F.lit(settings.seed), F.col("value"))).limit(settings.labelled).select("value", "secret").collect()
+    parts = lambda want: [x for r in rows if bool(r["secret"]) == want for x in re.findall(r"[A-Za-z0-9+/_=.-]+", r["value"])]
+    return parts(True), parts(False)
+
+
+def transitions(strings: Iterable[str], smoothing: float, backoff: float | None = None) -> np.ndarray:
+    """Log probabilities of a character after two others (the last code: before the start); of the last one alone without backoff."""
+    n = len(_ALPHABET)
+    codes = _CODE[np.frombuffer(("\0\0" + "\0\0".join(strings)).encode("ascii"), np.uint8)]
+    before, last, now = codes[:-2], codes[1:-1], codes[2:]
+    real = now < n
+    one = np.full((n + 1, n), smoothing)
+    np.add.at(one, (last[real], now[real]), 1)
+    one /= one.sum(axis=1, keepdims=True)
+    if backoff is None:
+        return np.broadcast_to(np.log(one), (n + 1, n + 1, n))
+    two = np.zeros((n + 1, n + 1, n))
+    np.add.at(two, (before[real], last[real], now[real]), 1)
+    return np.log((two + backoff * one) / (two.sum(axis=2, keepdims=True) + backoff))
+
+
+def fit(docs: DataFrame, settings: Settings, labelled: DataFrame | None = None) -> np.ndarray:
+    """Log ratios of both models, random over ordinary. docs has doc_id and text; the sample is the documents of least hash. labelled: see labelled_sample().
 
     A bound on the hash, from the number of rows, leaves about four times the sample to be sorted, however many tasks read.
     """
@@ -133,9 +192,11 @@ def fit(docs: DataFrame, settings: Settings) -> np.ndarray:
     rank = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("doc_id"), F.col("text")), F.lit(span))
     few = docs.select(F.substring("text", 1, settings.sample_chars).alias("text"), rank.alias("rank")).where((F.col("rank") <= F.lit(int(most))) & (F.length("text") > 0))
     sample = few.orderBy("rank").limit(settings.sample_docs).select("text").collect()
-    ordinary = [s for r in sample for s in identifiers(r["text"])]
-    words = [s.lower() for s in ordinary if s.isalpha() and 3 <= len(s) <= 12]
-    return transitions(random_sample(settings), settings.smoothing) - transitions(ordinary + names(words, settings) + plain_numbers(settings), settings.smoothing)
+    drawn = [s for r in sample for s in identifiers(r["text"])]
+    words = [s.lower() for s in drawn if s.isalpha() and 3 <= len(s) <= 12]
+    secret, plain = labelled_sample(labelled, settings)
+    ordinary = drawn + names(words, settings) + library_names(settings) + plain_numbers(settings) + sequences(settings) + plain
+    return transitions(random_sample(settings) + secret, settings.smoothing) - transitions(ordinary, settings.smoothing, settings.backoff)
 
 
 def stretches(scores: np.ndarray, codes: np.ndarray, settings: Settings) -> list[tuple[int, int]]:
@@ -184,7 +245,8 @@ def random_spans(text: str, ratios: np.ndarray, settings: Settings, taken: list[
         for start, end in [*pieces, (at, m.end())]:
             if end - start >= settings.min_chars:
                 codes = _CODE[np.frombuffer(text[start:end].encode("ascii"), np.uint8)]
-                scores = ratios[np.concatenate([[len(_ALPHABET)], codes[:-1]]), codes]
+                start_code = len(_ALPHABET)
+                scores = ratios[np.concatenate([[start_code, start_code], codes[:-2]]), np.concatenate([[start_code], codes[:-1]]), codes]
                 out += [(start + a, start + b, "random") for a, b in stretches(scores, codes, settings)]
     return sorted(out)
 
@@ -208,14 +270,16 @@ def scanner(ratios: np.ndarray, settings: Settings):
     return scan
 
 
-def secrets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans; one pass without a shuffle after the fit.
 
+    labelled is a table of strings (value, secret) that the models are fitted on besides the samples that every fit has.
+
     Null and empty texts have no spans; every row, repeated or not, with whatever id, has its own result; very long texts are scanned whole.
     Spans that start at one place (ties) are listed by kind. Other columns aren't looked at. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ratios = fit(rows, settings)
+    ratios = fit(rows, settings, labelled)
     return rows.mapInArrow(scanner(ratios, settings), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 

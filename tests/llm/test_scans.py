@@ -317,3 +317,38 @@ def test_pages_are_read_in_linear_time():
         return time.process_time() - start
 
     assert seconds(40_000) < 16 * max(seconds(5_000), 0.02)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+
+
+def test_error_rates_on_samples_of_others(small):
+    """Class names of Spark's own jars, which no fit sees, and strings from bytes in the encodings of keys."""
+    import base64
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    ratios, settings, draw = secrets.fit(small, secrets.Settings()), secrets.Settings(), random.Random(99)
+    hit = lambda x: bool(secrets.random_spans(f"see {x} here", ratios, settings, []))
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-catalyst*.jar"))
+    paths = sorted({re.sub(r"\$.*", "", n[:-6]) for jar in jars for n in zipfile.ZipFile(jar).namelist() if n.endswith(".class")})
+    names = [x for p in paths for x in (p, p.rsplit("/")[-1]) if len(x) >= 16]
+    assert len(names) > 1000 and sum(map(hit, names)) <= 0.01 * len(names)
+    for encode in (lambda b: base64.urlsafe_b64encode(b).decode(), lambda b: base64.b32encode(b).decode().rstrip("="), lambda b: b.hex().upper()):
+        keys = [encode(draw.randbytes(n)) for n in (12, 15, 16, 24, 32) for _ in range(100)]
+        assert sum(map(hit, keys)) >= 0.98 * len(keys)
+
+
+def test_labelled_strings_shape_the_models(spark, small):
+    rows = [(f"zqx{k % 7}jvk{k}wqz{k % 5}xjq", False) for k in range(3000)] + [("the_lazy_secret_of_" + "ab" * (k % 9), True) for k in range(5)] + [(None, True), ("x", None), ("é ü", False)]
+    labelled = spark.createDataFrame(rows, "value string, secret boolean")
+    settings, unseen = secrets.Settings(), "zqx3jvk9999wqz4xjq"
+    hit = lambda ratios: bool(secrets.random_spans(f"see {unseen} here", ratios, settings, []))
+    assert hit(secrets.fit(small, settings)) and not hit(secrets.fit(small, settings, labelled))
+    docs = spark.createDataFrame([(1, f"a {unseen} b"), (2, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in secrets.secrets(docs, labelled=labelled).collect()} == {1: "", 2: ""}
