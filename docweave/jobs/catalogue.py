@@ -15,6 +15,10 @@ from docweave.jobs.uploads import replies
 from docweave.operators.label import LABELERS, blocks, by_model, labelled, markdown, mod, rejected, rule
 from docweave.operators.merge import merged, merged_rows, search_depth, shared_lines
 from docweave.operators.segment import MAX_TOKENS, OVERLAP_TOKENS, chunks, hard_split, paragraphs, sentences
+from docweave.sources.labels import label_once, stored_labels
+from docweave.sources.scratch import scratch
+from docweave.sources.sink import publish
+from docweave.streaming import landing
 
 #: Limits at which every branch of the splitter runs on small data.
 SMALL = (200, 20)
@@ -549,3 +553,53 @@ def config_int(spark, sf_dir):
 @query("preview", "SELECT doc_id, left(text, 100) AS preview FROM documents")
 def previews(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", preview(F.col("text")).alias("preview"))
+
+
+_FILES = f"""WITH m AS (
+  SELECT '/in/' || doc_id || '/' || (doc_id % 997) || CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '.pdf' END AS path, (doc_id % 997) || '.md' AS out_path, {_MARKDOWN(_LABELLED('text'))} AS md FROM documents
+), w AS (SELECT *, row_number() OVER (PARTITION BY out_path, length(md) > 0 ORDER BY path) AS k FROM m)
+"""
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """(path, markdown, error_stage, error) of documents as if each came from a file; names repeat over folders."""
+    path = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("/"), (F.col("doc_id") % 997).cast("string"), F.when(F.col("doc_id") % 2 == 0, ".docx").otherwise(".pdf"))
+    md = markdown(labelled(F.col("text")))
+    rows = docs.select(path.alias("path"), F.when(F.length(md) > 0, md).alias("markdown"))
+    return rows.withColumn("error_stage", F.when(F.col("markdown").isNull(), "format")).withColumn("error", F.lit(None).cast("string"))
+
+
+@query(
+    "sink_manifest",
+    _FILES + "SELECT path, out_path, CASE WHEN length(md) = 0 THEN 'failed' WHEN k = 1 THEN 'written' ELSE 'collides' END AS status, CASE WHEN length(md) > 0 THEN strlen(md)::BIGINT END AS bytes, CASE WHEN length(md) > 0 THEN sha256(md) END AS sha256, CASE WHEN length(md) = 0 THEN 'format' END AS error_stage FROM w",
+)
+def sink_manifest(spark, sf_dir):
+    """The manifest of the Markdown files of all documents, which the sink has staged, published and counted."""
+    return publish(as_files(documents(spark, sf_dir)), scratch(spark, "sink")).manifest.drop("error")
+
+
+@query("sink_counts", _FILES + "SELECT count(*) FILTER (length(md) > 0) AS processed, count(*) FILTER (length(md) = 0) AS errors, CASE WHEN count(*) FILTER (length(md) = 0) > 0 THEN 1 ELSE 0 END::BIGINT AS exit_code FROM w")
+def sink_counts(spark, sf_dir):
+    """What the job that wrote the files counted on the way."""
+    counts = publish(as_files(documents(spark, sf_dir)), scratch(spark, "sink")).counts
+    return spark.range(1).select(*(F.lit(counts[k]).cast("long").alias(k) for k in ("processed", "errors", "exit_code")))
+
+
+@query("labels_by_content", _RECURSIVE + _LABELLED_CHUNKS + " SELECT sha256('0:' || chunk) AS digest, any_value(t) AS labelled, 1::BIGINT AS n_calls FROM (SELECT c.chunk, l.t FROM labelled l JOIN chunks c USING (doc_id, chunk_ix)) GROUP BY chunk")
+def labels_by_content(spark, sf_dir):
+    """How often each chunk was labelled in two runs over all documents with one store."""
+    store = scratch(spark, "labels")
+    rows = exploded(documents(spark, sf_dir), "doc_id", chunks(F.col("text"), *SMALL), "chunk_ix", "chunk")
+    for _ in range(2):
+        label_once(rows, lambda part: part.select("digest", labelled(F.col("chunk"), rule).alias("labelled"), F.lit(None).cast("string").alias("error")), store)
+    return stored_labels(spark, store).groupBy("digest").agg(F.min("labelled").alias("labelled"), F.count(F.lit(1)).alias("n_calls"))
+
+
+@query("stream_names", _FILES + "SELECT path, CASE WHEN length(md) > 0 THEN out_path END AS out_path, length(md) > 0 AND k > 1 AS collides FROM w")
+def stream_names(spark, sf_dir):
+    """Output names of all documents, decided in a stream that keeps the holder of each name."""
+    out, source = scratch(spark, "names"), f"{sf_dir}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    rows = landing.named(as_files(stream)).select("path", "out_path", "collides")
+    rows.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "names-state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
