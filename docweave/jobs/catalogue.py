@@ -599,7 +599,7 @@ def labels_by_content(spark, sf_dir):
 def stream_names(spark, sf_dir):
     """Output names of all documents, decided in a stream that keeps the holder of each name."""
     out, source = scratch(spark, "names"), f"{sf_dir}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may be a file, a plain path has to be a folder
     rows = landing.named(as_files(stream)).select("path", "out_path", "collides")
     rows.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "names-state")).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
