@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docweave.sources.scratch import discard, scratch
+
+MAX_WAVES = 4096
 _STORED = "digest string, labelled string, error string, run string"
 
 
@@ -39,18 +42,21 @@ def label_once(chunks: DataFrame, label: Callable[[DataFrame], DataFrame], store
     """chunks with labelled and error; label is called for each text that the store has no label of, once.
 
     label takes rows (digest, chunk) and gives digest, labelled and error of each. A call that fails is stored with its reason, and the next run tries
-    it again. A wave has about ``wave`` calls. Texts meet by digest: only texts to be labelled are shuffled, one of each. Null chunks have no label.
+    it again. A wave has about ``wave`` calls, or a MAX_WAVES-th of all where that is more. Texts meet by digest: only texts to be labelled are shuffled, one of each,
+    and written by wave first, so that a wave reads its own. Null chunks have no label.
     """
     spark, run = chunks.sparkSession, uuid.uuid4().hex
     keyed = chunks.withColumn("_digest", digest(F.col(text), setting))
     known = stored_labels(spark, store).where("labelled is not null").select("digest").distinct()
     todo = keyed.where("_digest is not null").select(F.col("_digest").alias("digest"), F.col(text).alias("chunk")).groupBy("digest").agg(F.any_value("chunk").alias("chunk")).join(known, "digest", "left_anti")
-    n = todo.count()
-    waves = -(-n // wave)
+    waves = min(MAX_WAVES, -(-todo.count() // wave))
+    pending = scratch(spark, "pending-labels")
+    if waves:
+        todo.withColumn("wave", F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")).repartition("wave").write.mode("append").partitionBy("wave").parquet(pending)
     for k in range(waves):
-        part = todo.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == k)
-        found = label(part)
+        found = label(spark.read.schema("digest string, chunk string, wave int").parquet(pending).where(F.col("wave") == k).drop("wave"))
         found.select("digest", "labelled", reason(found).alias("error"), F.lit(run).alias("run")).write.mode("append").parquet(store)
+    discard(spark, pending)
     best = stored_labels(spark, store).where(F.col("labelled").isNotNull() | (F.col("run") == run)).groupBy(F.col("digest").alias("_of")).agg(F.min("labelled").alias("labelled"), F.min("error").alias("_error"))
     joined = keyed.drop("labelled", "error").join(best, F.col("_digest") == F.col("_of"), "left")
     return joined.withColumn("error", F.when(F.col("labelled").isNull(), F.col("_error"))).drop("_digest", "_of", "_error")

@@ -24,3 +24,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     files.mkdirs(where)
     files.deleteOnExit(where)
     return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what stands at a path of scratch() before the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
