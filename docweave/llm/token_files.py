@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -283,17 +284,54 @@ class Encoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def _ids(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        try:
-            return (self.part(first) if first else b"") + b"".join(map(self._words.__getitem__, words))
-        except _Uneven:  # more white space than a single space: cut elsewhere
-            cuts = [0, *(m.start() for m in _CUT.finditer(text, 1)), len(text)]
-            return self.part(text[: cuts[1]]) + b"".join(self._words[text[a + 1 : b]] for a, b in zip(cuts[1:], cuts[2:]))
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words not met yet, those of letters in one go."""
+        if len(self._words) + len(words) > self._most:
+            self._words.clear()
+        keep, tokenize, space, signs = self._words, self._model.tokenize, self._signs[0x20], self._signs
+        for word in words:
+            if self._by_parts and word.isalpha() and max(word) < _LATIN and not any(a in word for a in self._added):
+                keep[word] = array("I", [t.id for t in tokenize(space + (word if word.isascii() else word.translate(signs)))]).tobytes()
+            else:
+                keep[word] = self.part(" " + word)
+
+    def _uneven(self, text: str) -> bytes:
+        """Ids of a text in which more than single spaces part words: it is cut elsewhere."""
+        cuts = [0, *(m.start() for m in _CUT.finditer(text, 1)), len(text)]
+        return self.part(text[: cuts[1]]) + b"".join(self._words[text[a + 1 : b]] for a, b in zip(cuts[1:], cuts[2:]))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. All words are looked up, then those that are missing are learnt together, and then put in their places."""
+        met, missing, seen = self._words.get, set(), []
+        for text in texts:
+            first, *words = text.split(" ")
+            found = list(map(met, words))
+            gaps = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            new = {words[k] for k in gaps}
+            even = "" not in new and not any(w[0].isspace() for w in new)
+            if even:
+                missing |= new
+            seen.append((first, words, found, gaps) if even else None)
+        self._learn(missing)
+        out, get = [], self._words.__getitem__
+        for text, one in zip(texts, seen):
+            if one is None:
+                out.append(self._uneven(text))
+                continue
+            first, words, found, gaps = one
+            for k in gaps:
+                found[k] = get(words[k])
+            out.append((self.part(first) if first else b"") + b"".join(found))
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of whole texts (null: of the empty one), each with the end id."""
+        slices = [[piece for piece in self._slices(text or "") if piece] for text in texts]
+        ids = iter(self._ids([piece for own in slices for piece in own]))
+        return [np.frombuffer(b"".join([*(next(ids) for _ in own), self._end]), "<u4") for own in slices]
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text (null: of the empty one) and the end id."""
-        return np.frombuffer(b"".join([*(self._ids(piece) for piece in self._slices(text or "") if piece), self._end]), "<u4")
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -316,6 +354,17 @@ class Settings:
 INDEX = "part int, file string, n_docs long, n_ids long"
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some hundred texts, or fewer where they are long."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(sizes[start - 1]) if start else 0
+        end = min(start + 256, max(start + 1, int(np.searchsorted(sizes, before + _SLICE, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _writer(folder: str, settings: Settings) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = files.FileSystem.from_uri(folder)
@@ -323,14 +372,14 @@ def _writer(folder: str, settings: Settings) -> Callable:
         out, file, docs, ids = None, None, 0, 0
         try:
             for batch in batches:
-                for k in range(batch.num_rows):
+                for rows in _few(batch):
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                         file = Writer(out)
-                    found = encoder.encode(batch.column(1)[k].as_py())
-                    file.add(batch.column(0)[k].as_py(), found)
-                    docs, ids = docs + 1, ids + len(found)
+                    for doc_id, found in zip(rows.column(0).to_pylist(), encoder.encode_all(rows.column(1).to_pylist())):
+                        file.add(doc_id, found)
+                        docs, ids = docs + 1, ids + len(found)
             if file is not None:
                 file.close()
         finally:
