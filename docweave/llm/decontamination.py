@@ -18,8 +18,8 @@ WINDOW = 10
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Words that a term may stand off its place in a proximity match.
 SLOP = 3
-#: The words of a text before A-Z are lower-cased, which doesn't change their number.
-_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Stands after the last word of each document, so its position is the number of words. No word is empty, and no term has this number.
+_END, _END_ID = "", -1
 
 
 def words(text: Column) -> Column:
@@ -46,11 +46,12 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, item_id: str = "ite
 
 
 class Vocabulary:
-    """The terms of all windows, each with a number of its own (term_id), stored; and their rows and bytes."""
+    """The terms of all windows, each with a number of its own (term_id), and the end mark, stored; and their rows and bytes."""
 
     def __init__(self, windows: DataFrame) -> None:
-        terms = windows.select(F.explode("terms").alias("term")).distinct()
-        self.table = stored(terms.withColumn("term_id", F.monotonically_increasing_id()), "benchmark-terms")
+        terms = windows.select(F.explode("terms").alias("term")).distinct().withColumn("term_id", F.monotonically_increasing_id())
+        end = windows.sparkSession.range(1).select(F.lit(_END).alias("term"), F.lit(_END_ID).cast("long").alias("term_id"))
+        self.table = stored(terms.unionByName(end), "benchmark-terms")
         self.rows, self.bytes = (x or 0 for x in self.table.agg(F.count(F.lit(1)), F.sum(F.octet_length("term"))).first())
 
     def join_to(self, rows: DataFrame, column: str) -> DataFrame:
@@ -58,13 +59,20 @@ class Vocabulary:
         return rows.join(_small(self.table, self.rows, self.bytes), F.col(column) == F.col("term")).drop("term", column)
 
 
-def _tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.posexplode(words(F.col(text))).alias("pos", "word"))
+def _tokens(docs: DataFrame, doc_id: str, text: str, end: bool = False) -> DataFrame:
+    found = words(F.col(text))
+    found = F.array_append(found, F.lit(_END)) if end else found
+    return docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.posexplode(found).alias("pos", "word"))
 
 
-def positional_index(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (term_id, doc_id, _key, pos) of the vocabulary's terms, stored in the shared folder."""
-    return stored(vocabulary.join_to(_tokens(docs, doc_id, text), "word").select("term_id", "doc_id", "_key", "pos"), "positional-index")
+def positional_index(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths), stored in the shared folder: (term_id, doc_id, _key, pos) of the vocabulary's terms, and (doc_id, _key, n_words) of every row.
+
+    Both come from one pass over the texts.
+    """
+    index = stored(vocabulary.join_to(_tokens(docs, doc_id, text, end=True), "word").select("term_id", "doc_id", "_key", "pos"), "positional-index")
+    ends = index.where(F.col("term_id") == _END_ID).select("doc_id", "_key", F.col("pos").cast("long").alias("n_words"))
+    return index.where(F.col("term_id") != _END_ID), stored(ends, "text-lengths")
 
 
 def matches(docs: DataFrame, index: DataFrame, windows: DataFrame, vocabulary: Vocabulary, slop: int = SLOP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,6 +118,20 @@ def matches(docs: DataFrame, index: DataFrame, windows: DataFrame, vocabulary: V
     return whole.where("got = n").select("doc_id", "_key", "win", "start", "n", (F.col("here") == F.col("n")).alias("exact"))
 
 
+def _hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, width: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, lengths): n_hit, n_items, _items, n_near of each document with matches, and the words of every row."""
+    windows, owners = benchmark_windows(items, width)
+    vocabulary = Vocabulary(windows)
+    index, lengths = positional_index(docs, vocabulary, doc_id, text)
+    found = stored(matches(docs, index, windows, vocabulary, slop, doc_id, text).distinct(), "matches")
+    exact = found.where("exact")
+    keys = ["doc_id", "_key"]
+    hit = exact.select(*keys, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
+    of = exact.join(owners, "win").select(*keys, "item").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("_items"))
+    near = found.where("not exact").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_near"))
+    return stored(_outer(_outer(hit, of, keys), near, keys), "hits"), lengths
+
+
 @tidy
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document row: doc_id, _key, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
@@ -119,18 +141,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     repeated rows have equal results, and ids may be null; items with one text share their windows, and all of them are named; other
     columns aren't looked at. An empty benchmark hits nothing, and an empty table of documents gives no rows.
     """
-    windows, owners = benchmark_windows(items, width)
-    vocabulary = Vocabulary(windows)
-    index = positional_index(docs, vocabulary, doc_id, text)
-    found = stored(matches(docs, index, windows, vocabulary, slop, doc_id, text).distinct(), "matches")
-    exact = found.where("exact")
-    keys = ["doc_id", "_key"]
-    hit = exact.select(*keys, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
-    of = exact.join(owners, "win").select(*keys, "item").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("_items"))
-    near = found.where("not exact").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_near"))
+    result, rows = _hits(docs, items, doc_id, text, width, slop)
     both = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
-    result = stored(_outer(_outer(hit, of, keys), near, keys), "hits")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(_ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(result, both(rows, result), "left").select(
         rows["doc_id"],
         rows["_key"],

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from docweave.llm import decontamination, mixing, quality, sharding
 from docweave.llm.queries import ORACLES, QUERIES
+from docweave.llm.shared import roots
 from tests.conftest import DATA, rows
 from tests.llm.conftest import ODD, by_id
 
@@ -35,6 +36,15 @@ def test_rules_keep_columns_and_odd_rows(docs_of):
     assert quality.quality(docs_of([])).collect() == []
 
 
+def as_files(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+
+def reads(df, tmp_path):
+    return [x for x in roots(df) if str(tmp_path) in x]
+
+
 def windows(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return w, [tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))] if w else []
@@ -68,6 +78,16 @@ def test_clean_documents(spark, docs_of):
     assert decontamination.contamination(docs_of([]), items).collect() == []
 
 
+def test_texts_are_cut_into_words_once(spark, docs_of, tmp_path):
+    """The number of words comes with the postings; a row of its own for each row of documents, whatever its text or id."""
+    docs = as_files(spark, docs_of([*ODD, (8, "A-b  c\u00e9D"), (8, "x")]), tmp_path)
+    for items in ([(1, "one two three four five six")], []):
+        found = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert not reads(found, tmp_path)
+        want = Counter((r["doc_id"], len(windows(r["text"])[0]), 6 * len(items) * ((r["text"] or "").startswith("one two"))) for r in docs.collect())
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in found.collect()) == want
+
+
 def test_targets(spark):
     sized = spark.createDataFrame([("b", 100), ("a", 10), (None, 1000), ("c", 500), ("d", 0), ("é", 90)], "source string, size long")
     found = {r["source"]: r for r in mixing.source_targets(sized).collect()}
