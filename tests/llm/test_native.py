@@ -45,6 +45,15 @@ def reads(df, tmp_path):
     return [x for x in roots(df) if str(tmp_path) in x]
 
 
+def test_rules_move_no_texts(spark, docs_of, tmp_path):
+    """Kept rows come from beside their measures: nothing is joined to the documents, and repeated rows, nulls and every column stay."""
+    texts = [" ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(30)), "too short", None]
+    docs = as_files(spark, docs_of([(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[0], None, None), (2, texts[2]), (3, texts[3])]), tmp_path)
+    kept = quality.kept_documents(docs)
+    assert reads(docs, tmp_path) and not reads(kept, tmp_path)
+    assert kept.dtypes == docs.dtypes and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("length(text) > 50").collect())) and kept.count() == 4
+
+
 def windows(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return w, [tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))] if w else []
@@ -88,6 +97,18 @@ def test_texts_are_cut_into_words_once(spark, docs_of, tmp_path):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"]) for r in found.collect()) == want
 
 
+def test_few_hits_move_no_texts(spark, docs_of, tmp_path):
+    docs = as_files(spark, docs_of(ODD), tmp_path)
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = decontamination.clean_documents(docs, items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_targets(spark):
     sized = spark.createDataFrame([("b", 100), ("a", 10), (None, 1000), ("c", 500), ("d", 0), ("é", 90)], "source string, size long")
     found = {r["source"]: r for r in mixing.source_targets(sized).collect()}
