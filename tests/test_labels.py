@@ -97,3 +97,66 @@ def test_columns_stay(spark, tmp_path):
     found = labels.label_once(rows, lambda part: part.select("digest", labelled(F.col("chunk"), rule).alias("labelled"), F.lit(None).cast("string").alias("error")), f"file://{tmp_path}/labels").collect()
     assert [r.asDict() for r in found] == [{"doc_id": 1, "chunk_ix": 0, "chunk": "Title", "digest": "y", "labelled": "H1: Title", "error": None}]
     assert labels.label_once(rows.where("false"), lambda part: part, f"file://{tmp_path}/none").count() == 0
+
+
+def by_rule(part):
+    return part.select("digest", labelled(F.col("chunk"), rule).alias("labelled"), F.lit(None).cast("string").alias("error"))
+
+
+def test_chunks_are_computed_once_for_an_empty_store(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def chunk(k):
+        seen.add(1)
+        return f"text {k % 30}"
+
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(chunk).asNondeterministic()("id").alias("chunk"))
+    for runs in (1, 2):
+        labels.label_once(rows, by_rule, f"file://{tmp_path}/labels", wave=10)
+        assert seen.value == 40 * runs
+
+
+def test_a_wave_reads_only_its_own_files(spark, tmp_path):
+    rows, read, counts, before = spark.createDataFrame([(1, k, f"text {k}") for k in range(95)], SCHEMA), [], [], []
+
+    def looks(part):
+        read.append(part.inputFiles())
+        counts.append(part.count())
+        before.append(labels.stored_labels(spark, f"file://{tmp_path}/labels").count())
+        return by_rule(part)
+
+    assert labels.label_once(rows, looks, f"file://{tmp_path}/labels", wave=10).where("labelled is not null").count() == 95
+    assert len({f for files in read for f in files}) == sum(map(len, read)) and sum(counts) == 95 and max(counts) <= 10
+    assert before == [sum(counts[:k]) for k in range(len(counts))]  # each wave is in the store before the next begins
+
+
+def test_waves_beside_each_other(spark, tmp_path):
+    rows, store, both, failing = spark.createDataFrame([(1, k, f"text {k}") for k in range(80)], SCHEMA), f"file://{tmp_path}/labels", threading.Barrier(2, timeout=60), []
+
+    def meets(part):
+        both.wait()
+        if failing:
+            raise RuntimeError("the driver is lost")
+        return by_rule(part)
+
+    failing.append(True)
+    with pytest.raises(RuntimeError):
+        labels.label_once(rows, meets, store, wave=10, at_once=2)
+    failing.clear()
+    assert labels.label_once(rows, meets, store, wave=10, at_once=2).where("labelled is not null").count() == 80
+    assert [tuple(r) for r in labels.stored_labels(spark, store).groupBy("digest").count().groupBy("count").count().collect()] == [(1, 80)]
+
+
+def test_a_store_without_folders_is_read(spark, tmp_path):
+    rows, store = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], SCHEMA), f"file://{tmp_path}/labels"
+    rows.where("chunk = 'a'").select(labels.digest(F.col("chunk")).alias("digest"), F.lit("P: a").alias("labelled"), F.lit(None).cast("string").alias("error"), F.lit("r").alias("run")).write.parquet(store)
+    found = labels.label_once(rows, by_rule, store).orderBy("chunk").collect()
+    assert [r["labelled"] for r in found] == ["P: a", "H1: b"] and labels.stored_labels(spark, store).count() == 2
+
+
+def test_dealt():
+    files = [(f"f{k}", n) for k, n in enumerate([10, 10, 4, 6, 1, 10, 3])]
+    waves = labels.dealt(files, 10)
+    assert sorted(f for w in waves for f in w) == sorted(f for f, _ in files) and all(sum(dict(files)[f] for f in w) <= 10 for w in waves)
+    assert labels.dealt([], 10) == []
+    assert max(map(len, labels.dealt([(f"f{k:05}", 10) for k in range(3 * labels.MAX_WAVES)], 10))) == 3
